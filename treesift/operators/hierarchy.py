@@ -75,6 +75,7 @@ def _inner_forest(inner: DataFrame, merge_rows: int) -> DataFrame:
     to where its end leads in other tasks, and the rest goes to fewer tasks; the last level is one task. Chains halve with
     every level, so what is open after log2(all) levels lies on or below a cycle.
     """
+    runtime.ship_package(inner.sparkSession)
     total = inner.count()
     off = F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long").alias("off")
     if total <= merge_rows:

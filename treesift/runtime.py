@@ -5,11 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FOLDERS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,21 +62,34 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once for an application; operators with Python code call it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    here = Path(__file__).resolve().parent
+    packed = Path(tempfile.mkdtemp(prefix="treesift-code-")) / "treesift.zip"
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    sc.addPyFile(str(packed))
+
+
 def slots(spark: SparkSession) -> int:
     """Shuffle partitions of this session, at least 8."""
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def hot_keys(df: DataFrame, key: str, parts: int) -> list:
-    """Keys that hold more than 1/parts of all rows.
+def hot_keys(df: DataFrame, key: str, parts: int, least: int = 1000) -> list:
+    """Keys that hold more than 1/parts of all rows (and more than `least` rows).
 
     By counting there are fewer than `parts` of them, whatever the input, so the list is small enough for the driver. One
     pass over one column, combined before the shuffle. Null keys are never reported.
     """
+    above = max(least, df.count() // parts)
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    counts = materialise(counts)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return [r[0] for r in counts.where(F.col("n") > max(1, total // parts)).select(key).collect()]
+    return [r[0] for r in counts.where(F.col("n") > above).select(key).collect()]
 
 
 def equal_blocks(df: DataFrame, order: str, parts: int) -> list:
