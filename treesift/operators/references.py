@@ -21,14 +21,14 @@ def key_filter(keys: DataFrame, key: str, n_keys: int, fpp: float = 0.02, max_bi
     Built by Spark's own aggregate, a partial filter in every task. The result is a function Column -> Column: false proves
     that a value is no key.
     """
+    if not n_keys:
+        return lambda c: F.lit(False)
     bits = math.ceil(-max(1, n_keys) * math.log(fpp) / math.log(2) ** 2)
     if bits > max_bits:
         return None
     spark = keys.sparkSession
     jvm = spark._jvm
     made = keys.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key))._jdf.stat().bloomFilter(key, max(1, n_keys), max(64, bits))
-    if made is None:
-        return lambda c: F.lit(False)
     out = jvm.java.io.ByteArrayOutputStream()
     made.writeTo(out)
     packed = F.lit(bytes(out.toByteArray()))

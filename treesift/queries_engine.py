@@ -83,7 +83,7 @@ _SEARCHES: dict[str, tuple[str, str]] = {
     "name_glob": ("*re?ort*.m?", r"regexp_full_match(name_fold, '(?s).*re.ort.*\.m.')"),
     "name_nowildcards": ("nowildcards:v3", "contains(name_fold, 'v3')"),
     "name_case": ("case:README", "contains(name, 'README')"),
-    "name_regex": (r'regex:"^[a-m].*\d{4}\.(log|txt)$"', r"regexp_matches(name, '(?i)^[a-m].*\d{4}\.(log|txt)$')"),
+    "name_regex": (r'regex:"^[a-m].*\d{4}\.(log|txt)$"', r"regexp_matches(name, '(?i)^[a-m].*\p{Nd}{4}\.(log|txt)$')"),
     "name_regex_case": (r"case:regex:^[A-M]\w+$", r"regexp_matches(name, '^[A-M][\pL\pN\pM_\x{200c}\x{200d}]+$')"),
     "path_contains": ("path:users", "contains(path_fold, 'users')"),
     "path_joined": (r"users\import", f"contains(path_fold, 'users' || {_BS} || 'import')"),

@@ -87,7 +87,7 @@ class MemoryVolume:
         return self.spark.createDataFrame(self.size_rows if self.live_rows is None else self.live_rows, S.SIZES)
 
     def first_usn(self) -> int:
-        return max(self.trimmed_before, min((e[0] for e in self.events), default=0))
+        return self.trimmed_before
 
     def next_usn(self) -> int:
         return max((e[0] for e in self.events), default=-1) + 1
