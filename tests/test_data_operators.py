@@ -70,9 +70,10 @@ RECORDS = [(1, 10, 5, "a"), (1, 10, 5, "again"), (2, 11, 10, "b"), (3, 12, 99, "
 FEED = [(1, 50, 5, 0x100, ""), (2, 50, 5, 0x200, ""), (3, 60, 5, 0x100, ""), (4, 10, 5, 0x2000, "")]
 
 
-@pytest.mark.parametrize("bits", [references.MAX_FILTER_BITS, 0])
-def test_record_orphans_with_and_without_filter(spark, rows, bits, monkeypatch):
-    monkeypatch.setattr(references, "key_filter", (lambda f: lambda *a, **k: f(*a, **{**k, "max_bits": bits}))(references.key_filter))
+@pytest.mark.parametrize(("most", "bits"), [(8, 1 << 26), (8, 16), (0, 1 << 26)])
+def test_record_orphans_with_one_filter_several_and_none(spark, rows, most, bits, monkeypatch):
+    monkeypatch.setattr(references, "MAX_FILTERS", most)
+    monkeypatch.setattr(references, "FILTER_BITS", bits)
     records = spark.createDataFrame([(*r, None) for r in RECORDS], "ord long, frn long, parent_frn long, name_utf16 string, seen_at timestamp").withColumn("why", F.lit("clash"))
     got = references.record_orphans(records, spark.createDataFrame(FEED, EV), F.lit(5))
     assert rows(got.select("row_key", "why")) == [(3, "missing"), (4, "deleted"), (5, "late"), (8, "missing")]

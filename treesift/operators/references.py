@@ -11,39 +11,51 @@ from .. import schema as S
 from ..runtime import materialise
 from .changes import has_bits, journal_state
 
-#: Largest filter that is broadcast, in bits (32 MB); beyond it every reference takes the exact join.
-MAX_FILTER_BITS = 1 << 28
+#: Bits of one Bloom filter (8 MB, the most that Spark's aggregate makes), and how many are made at most: 64 MB together.
+#: Beyond that every reference takes the exact join.
+FILTER_BITS, MAX_FILTERS = 1 << 26, 8
 
 
-def key_filter(keys: DataFrame, key: str, n_keys: int, fpp: float = 0.02, max_bits: int = MAX_FILTER_BITS):
-    """A Bloom filter of a long column, or None where it would pass `max_bits`.
+def key_filter(keys: DataFrame, key: str, n_keys: int, fpp: float = 0.02, max_filters: int | None = None):
+    """A function Column -> Column that tests longs against Bloom filters of `key`; false proves that a value is no key.
 
-    Built by Spark's own aggregate, a partial filter in every task. The result is a function Column -> Column: false proves
-    that a value is no key.
+    The filters are scalar subqueries: partial ones in every task, merged once, sent to the tasks with the query that uses
+    them. Keys beyond one filter's room are spread over several by a hash. None where more than `max_filters` would be
+    needed. Null keys are ignored.
     """
+    from pyspark.sql.classic.column import Column as Classic
+
     if not n_keys:
         return lambda c: F.lit(False)
-    bits = math.ceil(-max(1, n_keys) * math.log(fpp) / math.log(2) ** 2)
-    if bits > max_bits:
+    bits = math.ceil(-n_keys * math.log(fpp) / math.log(2) ** 2)
+    parts = -(-bits // FILTER_BITS)
+    if parts > (MAX_FILTERS if max_filters is None else max_filters):
         return None
-    spark = keys.sparkSession
-    jvm = spark._jvm
-    made = keys.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key))._jdf.stat().bloomFilter(key, max(1, n_keys), max(64, bits))
-    out = jvm.java.io.ByteArrayOutputStream()
-    made.writeTo(out)
-    packed = F.lit(bytes(out.toByteArray()))
+    jvm = keys.sparkSession._jvm
+    wrap, tree = jvm.org.apache.spark.sql.classic.ExpressionUtils, jvm.org.apache.spark.sql.catalyst.expressions
+    plain = lambda c: wrap.expression(c._jc)
+    part_of = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    count = [plain(F.lit(x).cast("long")) for x in (-(-n_keys // parts), max(64, -(-bits // parts)))]
+    longs = keys.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"))
 
-    def might_contain(column: Column) -> Column:
-        from pyspark.sql.classic.column import Column as Classic
+    def of_part(i: int) -> Column:
+        made = tree.aggregate.BloomFilterAggregate(plain(F.col("k")), *count).toAggregateExpression()
+        return (longs.where(part_of(F.col("k")) == i) if parts > 1 else longs).select(Classic(wrap.column(made)).alias("f")).scalar()
 
-        wrap = jvm.org.apache.spark.sql.classic.ExpressionUtils
-        test = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain
-        return Classic(wrap.column(test(wrap.expression(packed._jc), wrap.expression(column.cast("long")._jc))))
+    filters = [of_part(i) for i in range(parts)]
+
+    def might_contain(column: Column) -> Column:
+        column = column.cast("long")
+        tests = [Classic(wrap.column(tree.BloomFilterMightContain(plain(f), plain(column)))) for f in filters]
+        out = tests[-1]
+        for i, t in enumerate(tests[:-1]):
+            out = F.when(part_of(column) == i, t).otherwise(out)
+        return out
 
     return might_contain
 
 
-def resolve_references(refs: DataFrame, ref: str, keys: DataFrame, key: str, facts: list[str], max_bits: int = MAX_FILTER_BITS) -> DataFrame:
+def resolve_references(refs: DataFrame, ref: str, keys: DataFrame, key: str, facts: list[str], max_filters: int | None = None) -> DataFrame:
     """Left-join `refs` to the unique `keys` on ref = key, taking the columns `facts` and `found` (boolean).
 
     References that the broadcast filter rejects are orphans for certain and skip the join and its shuffle; only the
@@ -52,7 +64,7 @@ def resolve_references(refs: DataFrame, ref: str, keys: DataFrame, key: str, fac
     """
     facts_of = keys.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), *[F.col(f).alias(f"__{f}") for f in facts], F.lit(True).alias("__found"))
     kinds = dict(keys.dtypes)
-    test = key_filter(keys, key, keys.count(), max_bits=max_bits)
+    test = key_filter(keys, key, keys.count(), max_filters=max_filters)
 
     def out(df: DataFrame) -> DataFrame:
         return df.select(*refs.columns, *[F.col(f"__{f}").alias(f) for f in facts], F.coalesce(F.col("__found"), F.lit(False)).alias("found"))
