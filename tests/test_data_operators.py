@@ -132,7 +132,9 @@ def test_long_cycle_across_tasks(spark, rows):
     assert {tuple(r)[2:] for r in got.collect()} == {(1, -1)}
 
 
-def test_paths_descendants_and_totals(spark, rows):
+@pytest.mark.parametrize("bytes_", [1 << 28, 0])
+def test_paths_descendants_and_totals(spark, rows, monkeypatch, bytes_):
+    monkeypatch.setattr(hierarchy, "CHAIN_BYTES", bytes_)
     data = [(1, 5, "a"), (2, 1, "b"), (3, 2, None), (4, 99, "x"), (6, 4, "y"), (7, 8, "p"), (8, 7, "q"), (9, None, "n")]
     links = runtime.materialise(spark.createDataFrame(data, "node long, parent long, name string"))
     root = F.lit(5).cast("long")

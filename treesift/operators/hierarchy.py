@@ -15,6 +15,8 @@ from .. import schema as S
 
 #: Links that one task merges in memory (about 100 bytes each).
 MERGE_ROWS = 2_000_000
+#: Bytes of ancestor chains that one task makes at most.
+CHAIN_BYTES = 1 << 28
 _STATE = "node long, ptr long, off long, low long, top long"
 
 
@@ -138,15 +140,38 @@ def resolve_forest(links: DataFrame, root: Column, merge_rows: int = MERGE_ROWS)
     return joined.select("node", "parent", top.alias("top"), depth.cast("int").alias("depth"))
 
 
-def _ancestor_chains(links: DataFrame, root: Column, value: Column, join) -> DataFrame:
-    """(node, chain) for every parent node that reaches a top: `value` of the node and all its ancestors, joined by `join`
-    (upper part, lower part), by doubling: pass k knows 2^k ancestors, each looked up through the index node -> chain.
+def _walk(batches: Iterator[pd.DataFrame], join) -> Iterator[pd.DataFrame]:
+    """Chains of one task's nodes: every node takes its parent's through an index, parents first."""
+    parts = [p for p in batches if len(p)]
+    if not parts:
+        return
+    rows = pd.concat(parts, ignore_index=True).sort_values("depth", ignore_index=True)
+    made: dict = {}
+    for node, ptr, chain in zip(rows["node"], rows["ptr"], rows["chain"], strict=True):
+        above = None if pd.isna(ptr) else made.get(int(ptr))
+        made[node] = chain if above is None else join(above, chain)
+    for i in range(0, len(rows), 10_000):
+        some = rows["node"].iloc[i : i + 10_000]
+        yield pd.DataFrame({"node": some, "chain": [made[n] for n in some]})
+
+
+def _ancestor_chains(sound: DataFrame, root: Column, value: Column, width: Column, join, join_python) -> DataFrame:
+    """(node, chain) for every parent node of `sound` (node, parent, depth, ...; no cycles): `value` of the node and all its
+    ancestors, joined from the top down. `width` is about the bytes of a value.
+
+    Where all chains together are sure to fit one task (CHAIN_BYTES, counted first), it walks them by an index. Otherwise
+    by doubling: pass k knows 2^k ancestors of every node, each looked up by a join.
     """
     up = F.col("parent").isNotNull() & (F.col("parent") != root)
-    parents = links.where(up).select(F.col("parent").alias("node")).distinct()
-    inner = links.join(parents, "node", "left_semi").select("node", F.when(up, F.col("parent")).alias("ptr"), value.alias("chain"))
-    state = runtime.materialise(inner)
-    n = max(1, state.count())
+    parents = sound.where(up).select(F.col("parent").alias("node")).distinct()
+    inner = sound.join(parents, "node", "left_semi").select("node", F.when(up, F.col("parent")).alias("ptr"), value.alias("chain"), "depth", width.alias("width"))
+    inner = runtime.materialise(inner)
+    n, steps, widest = inner.agg(F.count(F.lit(1)), F.sum(F.col("depth") + 1), F.max("width")).first()
+    state = inner.select("node", "ptr", "chain")
+    if n <= MERGE_ROWS and (steps or 0) * (widest or 0) <= CHAIN_BYTES:
+        runtime.ship_package(sound.sparkSession)
+        kind = dict(state.dtypes)["chain"]
+        return inner.select("node", "ptr", "chain", "depth").coalesce(1).mapInPandas(lambda batches: _walk(batches, join_python), f"node long, chain {kind}")
     for _ in range(n.bit_length() + 1):
         if not state.where(F.col("ptr").isNotNull()).limit(1).count():
             break
@@ -159,18 +184,18 @@ def _ancestor_chains(links: DataFrame, root: Column, value: Column, join) -> Dat
 
 
 def _acyclic(links: DataFrame, forest: DataFrame) -> DataFrame:
-    return links.join(forest.where(F.col("depth") >= 0).select("node"), "node", "left_semi")
+    return links.join(forest.where(F.col("depth") >= 0).select("node", "depth"), "node")
 
 
 def materialise_paths(links: DataFrame, forest: DataFrame, root: Column, prefix: str, orphan_prefix: str = "<orphan>") -> DataFrame:
     r"""(node, parent, top, depth, path) for the nodes of `links` (node, parent, name) resolved in `forest`.
 
     Under the root a path is prefix, under another top orphan_prefix; nodes on or below a cycle have a null path. A
-    null name counts as empty. Paths of parents are made by doubling; every node then takes its parent's by one join.
+    null name counts as empty. Paths of parents are made first; every node then takes its parent's by one join.
     """
     named = links.select("node", "parent", F.coalesce("name", F.lit("")).alias("name"))
     sound = runtime.materialise(_acyclic(named, forest))
-    chains = _ancestor_chains(sound, root, F.col("name"), lambda a, b: F.concat(a, F.lit("\\"), b))
+    chains = _ancestor_chains(sound, root, F.col("name"), F.octet_length("name") + 1, lambda a, b: F.concat(a, F.lit("\\"), b), lambda a, b: f"{a}\\{b}")
     of_parent = chains.select(F.col("node").alias("__n"), F.col("chain").alias("__chain"))
     tails = sound.join(of_parent, F.col("parent") == F.col("__n"), "left").select("node", F.concat_ws("\\", "__chain", "name").alias("tail"))
     start = F.when(F.col("top") == root, F.lit(prefix)).otherwise(F.lit(orphan_prefix))
@@ -180,7 +205,7 @@ def materialise_paths(links: DataFrame, forest: DataFrame, root: Column, prefix:
 def ancestor_arrays(links: DataFrame, forest: DataFrame, root: Column) -> DataFrame:
     """(node, ancestors array<long>, nearest last, the node itself included) of every parent node that lies on no cycle."""
     sound = runtime.materialise(_acyclic(links.select("node", "parent"), forest))
-    return _ancestor_chains(sound, root, F.array("node"), lambda a, b: F.concat(a, b))
+    return _ancestor_chains(sound, root, F.array("node"), F.lit(8), F.concat, lambda a, b: [*a, *b])
 
 
 def descendants(links: DataFrame, forest: DataFrame, root: Column) -> DataFrame:

@@ -39,7 +39,7 @@ class Volume:
         """(node, chain): ids from the top down to each directory itself, made once for a volume."""
         if "chains" not in self._kept:
             links = self.entries.where((F.col("id") != self.root_id) & ~F.col("is_orphan")).select(F.col("id").alias("node"), F.col("parent_id").alias("parent"))
-            forest = links.select("node", F.lit(0).alias("depth"))
+            forest = self.entries.select(F.col("id").alias("node"), "depth")
             self._kept["chains"] = runtime.materialise(hierarchy.ancestor_arrays(links, forest, F.lit(self.root_id)))
         return self._kept["chains"]
 
