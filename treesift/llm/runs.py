@@ -17,13 +17,13 @@ def canonical_reason(reason: Column) -> Column:
     return F.when(r.bitwiseAND(F.lit(data)) != 0, r.bitwiseAND(F.lit(~data & 0x7FFFFFFFFFFFFFFF)).bitwiseOR(F.lit(S.R_OVERWRITE))).otherwise(r)
 
 
-def _islands(rows: DataFrame) -> DataFrame:
-    """Runs within each (entity, block) by the difference of two row numbers; one shuffle serves all steps."""
-    rows = rows.repartition("entity", "block").groupBy("entity", "block", "seq").agg(F.min("value").alias("value"), F.min("at").alias("at"))
-    by_entity = W.partitionBy("entity", "block").orderBy("seq")
-    by_value = W.partitionBy("entity", "block", "value").orderBy("seq")
-    rows = rows.withColumn("island", (F.row_number().over(by_entity) - F.row_number().over(by_value)).cast("long"))
-    return rows.groupBy("entity", "block", "value", "island").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs within each group of `keys` by the difference of two row numbers; one shuffle serves all steps."""
+    rows = rows.repartition(*keys).groupBy(*keys, "seq").agg(F.min("value").alias("value"), F.min("at").alias("at"))
+    whole = W.partitionBy(*keys).orderBy("seq")
+    alike = W.partitionBy(*keys, "value").orderBy("seq")
+    rows = rows.withColumn("island", (F.row_number().over(whole) - F.row_number().over(alike)).cast("long"))
+    return rows.groupBy(*keys, "value", "island").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
 
 
 def _stitch(parts: DataFrame) -> DataFrame:
@@ -59,11 +59,11 @@ def collapse_runs(events: DataFrame, entity: str, sequence: str, value: Column,
     hot = runtime.hot_keys(rows, "entity", blocks)
     is_hot = F.col("entity").isin(hot)
     keep = ["entity", "value", "first_seq", "last_seq", "n", "first_at", "last_at"]
-    runs = _islands((rows.where(~is_hot) if hot else rows).withColumn("block", F.lit(0))).select(*keep)
+    runs = _islands(rows.where(~is_hot) if hot else rows, ["entity"]).select(*keep)
     if hot:
         large = rows.where(is_hot)
         cuts = runtime.equal_blocks(large, "seq", blocks)
-        parts = runtime.materialise(_islands(large.withColumn("block", runtime.block_of(F.col("seq"), cuts))))
+        parts = runtime.materialise(_islands(large.withColumn("block", runtime.block_of(F.col("seq"), cuts)), ["entity", "block"]))
         runs = runs.unionByName(_stitch(parts).select(*keep))
     seconds = (F.unix_micros("last_at") - F.unix_micros("first_at")) / F.lit(1e6)
     return runs.withColumn("seconds", seconds)
