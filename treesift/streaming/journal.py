@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import runtime
 from ..operators import journal as J
+from ..operators import volume as V
 from ..operators.changes import journal_state
 from ..operators.volume import Volume, build_entries
 from ..sources import snapshot
@@ -101,6 +103,24 @@ class Watched:
     def save(self, folder: str) -> None:
         snapshot.save(folder, self.volume, self.journal_id, self.cursor)
 
+    def run(self, polls: int, folder: str | None = None, seconds: float = 1.0, save_seconds: float = 300.0) -> list[str]:
+        """Follow the journal for a number of polls: sync, build anew after a gap or where too many names are dead, save now
+        and then. Returns what happened at each poll: synced or the reason of a rebuild."""
+        told, saved = [], time.monotonic()
+        for i in range(polls):
+            why = self.sync()
+            if why is None and V.tombstone_ratio(self.volume).first()[0] > COMPACT_ABOVE:
+                why = "many names are dead"
+            if why:
+                self.recover()
+            told.append(why or "synced")
+            if folder and (i == polls - 1 or time.monotonic() - saved >= save_seconds):
+                self.save(folder)
+                saved = time.monotonic()
+            if i < polls - 1:
+                time.sleep(seconds)
+        return told
+
 
 def apply_to_records(records: DataFrame, feed: DataFrame) -> DataFrame:
     """`records` after the events of `feed`: renames keep their ord, deletes drop the row, creates get ords after the
