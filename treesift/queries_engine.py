@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import runtime
 from .functions import highlight
 from .functions import text as X
-from .operators import changes, content, journal, usage, view
+from .operators import content, journal, usage, view
 from .operators import volume as V
 from .plans import front
 from .runtime import read_table
