@@ -240,3 +240,20 @@ def test_blocks_hold_every_word():
         assert sum(b[1] for b in pages.page_blocks(text)) == len(re.findall(r"[^\W_]+", plain))
     assert pages.page_blocks(unicodedata.normalize("NFD", PROSE))
     assert pd.DataFrame(pages.page_blocks(PROSE * 200))[1].max() < 2 * pages.BLOCK_WORDS
+
+
+LINKS = [f"http://shop-{i}.example/item/{i * 37}" for i in range(12)]
+IN_CODE = {
+    31: "See my edit above.\n```\n" + "\n".join(LINKS) + "\n```", 32: "Thanks.\n~~~\n" + "\n".join(f"{i}. {x}" for i, x in enumerate(LINKS)) + "\n~~~", 33: "Thanks.\n<pre>" + "\n".join(LINKS) + "</pre>", 34: "Thanks.\n" + "\n".join("    - " + x for x in LINKS),
+}
+STILL_CODE = {
+    41: "```\n" + "\n".join(f"curl -o out {x}" for x in LINKS) + "\n```", 42: "```\nurls = [\n" + "\n".join(f'    "{x}",' for x in LINKS) + "\n]\n```", 43: "```\n" + "\n".join(f"[12] WARN rows: retry {x}" for x in LINKS) + "\n```",
+}
+
+
+def test_bare_links_inside_code_count_as_links(spark):
+    docs = [(k, t, "en") for k, t in (IN_CODE | STILL_CODE).items()] + [(100 + i, PROSE[i % 40 :] + PROSE, "en") for i in range(60)]
+    got = pages.advertising_pages(spark.createDataFrame(docs, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert sorted(x["doc_id"] for x in got.collect()) == sorted(IN_CODE)
+    for text in IN_CODE.values():
+        assert sum(b[1] for b in pages.page_blocks(text)) == len(re.findall(r"[^\W_]+", text))

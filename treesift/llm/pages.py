@@ -43,6 +43,8 @@ _CODE_LINE = re.compile(
     r"^(?: {4}|\t)\s*\S|^\s*(?:import |from \w+ import |#include|def |return\b|fn |let |for .*[:{]$|if .*[:{]$|\$ |SELECT |FROM |WHERE |GROUP BY|ORDER BY|[{}]\s*$|</?\w+>\s*$)"
     r"|\b(?:WARN|ERROR|INFO|DEBUG|TRACE|FATAL)\b|^\s*(?:error|warning|fatal): |[;{]\s*$|\w\(.*\)\s*[:{;]?\s*$|^\s*[\"']?\w+[\"']?\s*[:=]\s*[\[{(\"'\d].*[,\])}\"'\d]$"
 )
+#: What may stand beside the links of a line of bare links: a bullet or number before them, separators, a tag around them.
+_BESIDE_LINKS = re.compile(r"(?:</?pre>)?\s*(?:[-*+•·>]|\d+[.)])?[\s\x01|,;<>]*(?:</pre>)?\s*")
 _SENTENCE_END = re.compile(r"[.!?…。](?=\s|$|[\"')\]])")
 
 
@@ -78,11 +80,17 @@ def _is_link_line(line: str) -> tuple[bool, str]:
     return titled or (few and len(rest) <= 6 * links and not (ended and len(rest) >= 5 * links)), plain
 
 
+def _is_bare_links(line: str) -> bool:
+    """Whether the line holds links and no words beside them, nor quotes or brackets as in code."""
+    plain = _LINK.sub("\x01", _DOT.sub(".", _ANCHOR.sub("\x01", line)))
+    return "\x01" in plain and _BESIDE_LINKS.fullmatch(plain) is not None
+
+
 def page_blocks(text: str | None, block_words: int = BLOCK_WORDS) -> list[tuple[str, int, int, float, int, int, int]]:
     """(kind, words, bytes, ratio, function words, distinct words, sentence ends) of the blocks of a page.
 
     Blocks of kind text hold about `block_words` words; all code makes one block and all link lines another, whose `distinct`
-    is the number of links. `ratio` is what
+    is the number of links. Lines of bare links count as links inside code too. `ratio` is what
     zlib leaves of the block once links stand for one sign and digits for 0, so that a list of links or prices shows its
     repetition. The whole text counts; an empty or null text has no blocks.
     """
@@ -93,7 +101,7 @@ def page_blocks(text: str | None, block_words: int = BLOCK_WORDS) -> list[tuple[
     pending: tuple[str, list[str], str] | None = None  # a short line without an end, maybe the title of the link below
     for kind, line in _lines(text or ""):
         words = [w.lower() for w in _WORD.findall(line)]
-        if kind == "code":
+        if kind == "code" and not _is_bare_links(line):
             code += len(words)
             continue
         is_link, plain = _is_link_line(line)
