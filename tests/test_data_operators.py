@@ -155,3 +155,38 @@ def test_links_of_records_and_entries(spark, rows):
     assert rows(hierarchy.record_links(records)) == [(10, 6, "new")]
     entries = spark.createDataFrame([(1, 4294967294, "a"), (1, 4294967294, "a"), (2, 1, None)], "id long, parent long, name string")
     assert rows(hierarchy.entry_links(entries)) == [(1, None, "a"), (2, 1, None)]
+
+
+def pairs_below_cycles_by_hand(parent, root):
+    ring = set()
+    for node in parent:
+        x = parent[node]
+        for _ in parent:
+            if x == node:
+                ring.add(node)
+            x = parent.get(x) if x != root else None
+    out = []
+    for node in parent:
+        x, distance = node, 0
+        while x not in ring and parent[x] != root and parent[x] in parent:
+            x, distance = parent[x], distance + 1
+            out.append((x, node, distance))
+    return sorted(out), ring
+
+
+@pytest.mark.parametrize(("seed", "bytes_", "merge_rows"), [(1, 1 << 28, 2_000_000), (2, 1 << 28, 3), (3, 0, 2_000_000), (4, 0, 3)])
+def test_trees_below_cycles_have_descendants(spark, rows, monkeypatch, seed, bytes_, merge_rows):
+    monkeypatch.setattr(hierarchy, "CHAIN_BYTES", bytes_)
+    monkeypatch.setattr(hierarchy, "MERGE_ROWS", max(merge_rows, 1 if bytes_ else 0))
+    parent = random_links(60, seed) | {1: 2, 2: 3, 3: 1, 10: 2, 11: 10, 12: 11, 13: 10, 20: 20, 21: 20}
+    want, ring = pairs_below_cycles_by_hand(parent, 5)
+    assert {1, 2, 3, 20} <= ring and {(2, 12, 3), (20, 21, 1)} <= set(want)
+    links = runtime.materialise(spark.createDataFrame(list(parent.items()), "node long, parent long"))
+    root = F.lit(5).cast("long")
+    forest = runtime.materialise(hierarchy.resolve_forest(links, root))
+    assert {r["node"] for r in hierarchy.ring_nodes(forest).collect()} == ring
+    assert rows(hierarchy.descendants(links, forest, root)) == want
+    circular = {r["node"] for r in forest.where("depth < 0").collect()}
+    assert rows(hierarchy.marked_descendants(links, forest, root)) == [(*p, p[1] in circular) for p in want]
+    counts = {a: sum(p[0] == a for p in want) for a, _, _ in want}
+    assert rows(hierarchy.subtree_totals(links, forest, root, {"n": F.count(F.lit(1))})) == sorted(counts.items())

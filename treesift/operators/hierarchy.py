@@ -202,27 +202,83 @@ def materialise_paths(links: DataFrame, forest: DataFrame, root: Column, prefix:
     return forest.join(tails, "node", "left").select("node", "parent", "top", "depth", F.when(F.col("tail").isNotNull(), F.concat(start, F.lit("\\"), "tail")).alias("path"))
 
 
+def _rings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The nodes on cycles among one task's links, all of which lead to or along a cycle."""
+    parts = [b for b in batches if len(b)]
+    if not parts:
+        return
+    rows = pd.concat(parts, ignore_index=True).sort_values("node", ignore_index=True)
+    node = rows["node"].to_numpy(np.int64)
+    at = np.searchsorted(node, rows["parent"].to_numpy(np.int64))
+    for _ in range(len(node).bit_length()):  # after more steps than there are nodes all stand on cycles, and every place is held
+        at = at[at]
+    yield pd.DataFrame({"node": node[np.unique(at)]})
+
+
+def ring_nodes(forest: DataFrame, merge_rows: int | None = None) -> DataFrame:
+    """(node): the nodes of `forest` that lie on a cycle themselves, not below one."""
+    merge_rows = MERGE_ROWS if merge_rows is None else merge_rows
+    circular = forest.where(F.col("depth") == -1).select("node", "parent")
+    inner = runtime.materialise(circular.join(circular.select(F.col("parent").alias("node")).distinct(), "node", "left_semi"))
+    n = inner.count()
+    if n <= merge_rows:
+        runtime.ship_package(forest.sparkSession)
+        return runtime.materialise(inner.coalesce(1).mapInPandas(_rings, "node long"))
+    for _ in range(n.bit_length()):
+        far = inner.select(F.col("node").alias("parent"), F.col("parent").alias("__far"))
+        inner = runtime.materialise(inner.join(far, "parent").select("node", F.col("__far").alias("parent")))
+    return inner.select(F.col("parent").alias("node")).distinct()
+
+
+def open_rings(links: DataFrame, forest: DataFrame, root: Column) -> tuple[DataFrame, DataFrame]:
+    """`links` with a null parent for the nodes on a cycle, and (node, depth, circular) of all nodes of these open links.
+
+    The links along a cycle have no end and count for nothing here; what hangs below a node of a cycle is a finite tree
+    with that node as its top, and `circular` says so of all its nodes.
+    """
+    rings = ring_nodes(forest).select(F.col("node").alias("__ring"))
+    opened = links.join(rings, F.col("node") == F.col("__ring"), "left").withColumn("parent", F.when(F.col("__ring").isNull(), F.col("parent"))).drop("__ring")
+    circular = forest.where(F.col("depth") == -1).join(rings, F.col("node") == F.col("__ring"), "left")
+    below = runtime.materialise(circular.select("node", F.when(F.col("__ring").isNull(), F.col("parent")).alias("parent")))
+    sound = forest.where(F.col("depth") >= 0).select("node", "depth", F.lit(False).alias("circular"))
+    return opened, sound.unionByName(resolve_forest(below, root).select("node", "depth", F.lit(True).alias("circular")))
+
+
 def ancestor_arrays(links: DataFrame, forest: DataFrame, root: Column) -> DataFrame:
-    """(node, ancestors array<long>, nearest last, the node itself included) of every parent node that lies on no cycle."""
+    """(node, ancestors array<long>, nearest last, the node itself included) of every parent node of depth 0 or more; given
+    the two results of open_rings, of every parent node, those under a cycle from the node of the cycle on."""
     sound = runtime.materialise(_acyclic(links.select("node", "parent"), forest))
     return _ancestor_chains(sound, root, F.array("node"), F.lit(8), F.concat, lambda a, b: [*a, *b])
 
 
 def descendants(links: DataFrame, forest: DataFrame, root: Column) -> DataFrame:
-    """(ancestor, node, distance): every node with each of its proper ancestors, the root apart; cycles have no rows."""
-    chains = ancestor_arrays(links, forest, root).select(F.col("node").alias("__n"), "chain")
-    rows = links.join(chains, F.col("parent") == F.col("__n")).select("node", F.size("chain").alias("n"), F.posexplode("chain").alias("i", "ancestor"))
+    """(ancestor, node, distance): every node with each of its proper ancestors, the root apart. A node of a cycle is the
+    top of what hangs below it; the nodes of a cycle are no ancestors of each other."""
+    return _descendants(*open_rings(links, forest, root), root)
+
+
+def _descendants(opened: DataFrame, depths: DataFrame, root: Column) -> DataFrame:
+    chains = ancestor_arrays(opened, depths, root).select(F.col("node").alias("__n"), "chain")
+    rows = opened.join(chains, F.col("parent") == F.col("__n")).select("node", F.size("chain").alias("n"), F.posexplode("chain").alias("i", "ancestor"))
     return rows.select("ancestor", "node", (F.col("n") - F.col("i")).alias("distance"))
 
 
+def marked_descendants(links: DataFrame, forest: DataFrame, root: Column) -> DataFrame:
+    """(ancestor, node, distance, circular): descendants, those on or below a cycle told apart."""
+    opened, depths = open_rings(links, forest, root)
+    return _descendants(opened, depths, root).join(depths.select("node", "circular"), "node").select("ancestor", "node", "distance", "circular")
+
+
 def subtree_totals(links: DataFrame, forest: DataFrame, root: Column, measures: dict[str, Column]) -> DataFrame:
-    """(node, measures...) for every parent node on no cycle: each measure (a sum over child rows) over the whole subtree.
+    """(node, measures...) for every node with children: each measure (a sum over child rows) over the whole subtree. For
+    nodes of a cycle, that is what hangs below them; children along the cycle don't count.
 
     Children are first summed under their parent, combined before the shuffle, so leaves never meet the list of their
     ancestors: only one row per parent is spread over its ancestors.
     """
-    direct = links.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(*[m.alias(k) for k, m in measures.items()])
-    spread = ancestor_arrays(links, forest, root).join(direct, "node").select(F.explode("chain").alias("node"), *measures)
+    opened, depths = open_rings(links, forest, root)
+    direct = opened.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(*[m.alias(k) for k, m in measures.items()])
+    spread = ancestor_arrays(opened, depths, root).join(direct, "node").select(F.explode("chain").alias("node"), *measures)
     return spread.groupBy("node").agg(*[F.sum(k).alias(k) for k in measures])
 
 

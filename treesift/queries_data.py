@@ -66,7 +66,7 @@ def p6_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """How many descendants every node with children has; the pairs themselves come from hierarchy.descendants."""
+    """How many descendants every node with children has, those on or below a cycle included (see p6_descendant_pairs)."""
     parts = []
     for tab, rows, make, root in _forests(spark, d):
         links = runtime.materialise(make(rows).select("node", "parent"))
@@ -76,7 +76,18 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_with_base, p4_found, p4_by_period, p6_found, p6_paths, p6_descendants)}
+def p6_descendant_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every node with each of its ancestors and the distance; nodes on a cycle are tops of what hangs below them."""
+    parts = []
+    for tab, rows, make, root in _forests(spark, d):
+        links = runtime.materialise(make(rows).select("node", "parent"))
+        forest = runtime.materialise(hierarchy.resolve_forest(links, root))
+        pairs = hierarchy.marked_descendants(links, forest, root)
+        parts.append(pairs.select(F.lit(tab).alias("tab"), "ancestor", "node", "distance", "circular"))
+    return parts[0].unionByName(parts[1])
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_with_base, p4_found, p4_by_period, p6_found, p6_paths, p6_descendants, p6_descendant_pairs)}
 
 _STATE = """
 ev AS (SELECT *, (reason & 512) <> 0 AS del FROM usn_event WHERE usn IS NOT NULL AND frn IS NOT NULL
@@ -124,4 +135,8 @@ FROM st s FULL JOIN b ON b.frn = s.frn""",
     "p6_descendants": _P6 + """, up AS (SELECT n.tab, n.node, n.parent AS above FROM n JOIN t ON t.tab = n.tab AND t.node = n.node WHERE n.parent IS NOT NULL AND n.parent <> n.root
   UNION ALL SELECT up.tab, up.node, n.parent FROM up JOIN n ON n.tab = up.tab AND n.node = up.above WHERE n.parent IS NOT NULL AND n.parent <> n.root)
 SELECT up.tab, above AS node, count(*) AS n_below FROM up JOIN n k ON k.tab = up.tab AND k.node = up.above GROUP BY ALL""",
+    "p6_descendant_pairs": _P6 + """, o AS (SELECT n.tab, n.node, CASE WHEN ring.node IS NULL AND n.parent <> n.root THEN n.parent END AS parent FROM n LEFT JOIN ring ON ring.tab = n.tab AND ring.node = n.node),
+up AS (SELECT tab, parent AS above, node, 1 AS distance FROM o WHERE parent IS NOT NULL
+  UNION ALL SELECT up.tab, o.parent, up.node, up.distance + 1 FROM up JOIN o ON o.tab = up.tab AND o.node = up.above WHERE o.parent IS NOT NULL)
+SELECT up.tab, above AS ancestor, up.node, CAST(distance AS INTEGER) AS distance, low.node IS NOT NULL AS circular FROM up JOIN n k ON k.tab = up.tab AND k.node = up.above LEFT JOIN low ON low.tab = up.tab AND low.node = up.node""",
 }
