@@ -257,3 +257,13 @@ def test_bare_links_inside_code_count_as_links(spark):
     assert sorted(x["doc_id"] for x in got.collect()) == sorted(IN_CODE)
     for text in IN_CODE.values():
         assert sum(b[1] for b in pages.page_blocks(text)) == len(re.findall(r"[^\W_]+", text))
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_names_that_no_item_has(spark, most):
+    items = spark.createDataFrame([(1, "why did Nadja give 12 pears to Mirek while Nadja kept 12 plums here")], "id long, text string")
+    texts = ["why did Ingrid give 12 pears to Mirek while Ingrid kept 12 plums here", "WHY DID INGRID GIVE 30 PEARS TO NADJA WHILE INGRID KEPT 30 PLUMS HERE", "why did ingrid give 12 pears to mirek while olaf kept 12 plums here", "why did 7 give 12 pears to mirek while 7 kept 12 plums here", "why did plums give 12 pears to mirek while plums kept 12 plums here"]
+    search = leaks.LeakSearch(items, "id", "text", most=most)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert sorted(x["doc_id"] for x in search.reparameterised(docs, "id", "text").collect()) == [0, 1]
+    assert search.verbatim(docs, "id", "text").count() == 0

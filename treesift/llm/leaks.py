@@ -19,8 +19,6 @@ WINDOW = 12
 BLOCK_WORDS = 100_000
 #: Distinct hashes of item windows up to which they are broadcast (8 bytes each); beyond it all windows are shuffled.
 MAX_BROADCAST_WINDOWS = 4_000_000
-#: Distinct names taken from the items up to which they become placeholders.
-MAX_NAMES = 10_000
 # Units that become a placeholder.
 UNITS = (
     "gram grams kilogram kilograms ounce ounces pound pounds ton tons metre metres meter meters kilometre kilometres kilometer kilometers "
@@ -29,22 +27,29 @@ UNITS = (
 ).split()
 
 _WORD = re.compile(r"[^\W_]+")
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASE, _BASE_2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F
+
+
+def _code(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+_NAME = np.uint64(_code("<name>"))
 
 
 class Templates:
-    """Turns words into numbers: of the template (placeholders for numbers, units, names) and of what fills its slots."""
+    """Turns words into numbers: of the template (placeholders for numbers and units) and of the word itself."""
 
-    def __init__(self, names: list[str]):
-        self.units, self.names = frozenset(UNITS), frozenset(names)
+    def __init__(self):
+        self.units = frozenset(UNITS)
         self.known: dict[str, tuple[int, int]] = {}
 
     def _numbers(self, word: str) -> tuple[int, int]:
-        kind = "<number>" if word.isnumeric() else "<unit>" if word in self.units else "<name>" if word in self.names else None
-        code = lambda s: int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return (code(kind), code(word)) if kind else (code(word), 0)
+        kind = "<number>" if word.isnumeric() else "<unit>" if word in self.units else word
+        return _code(kind), _code(word)
 
     def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of template and word; they differ where the word is a number or unit."""
         known = self.known
         if len(known) > 500_000:
             known.clear()
@@ -68,122 +73,202 @@ def word_blocks(text: str | None, block: int = BLOCK_WORDS, overlap: int = WINDO
         yield words
 
 
-def _rolling(codes: np.ndarray, n: int) -> np.ndarray:
+def _rolling(codes: np.ndarray, n: int, base: int = _BASE) -> np.ndarray:
     """A hash of every n consecutive codes: a polynomial over 64 bits, made by n shifted additions."""
     out = np.zeros(len(codes) - n + 1, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(n):
-            out = out * np.uint64(_BASE) + codes[j : len(codes) - n + 1 + j]
+            out = out * np.uint64(base) + codes[j : len(codes) - n + 1 + j]
     return out
 
 
-def _texts_windows(batch: pd.DataFrame, lengths_of, templates: Templates, wanted: np.ndarray | None, with_slots: bool, exact: bool) -> pd.DataFrame:
-    """Windows of a batch of texts (id, text); only those whose hash is in the sorted array `wanted`, if given."""
-    blocks = [(i, w) for i, t in zip(batch["id"], batch["text"], strict=True) for w in word_blocks(t)]
-    ids = np.array([i for i, _ in blocks], np.int64)
-    sizes = np.array([len(w) for _, w in blocks], np.int64)
-    flat = [x for _, w in blocks for x in w]
-    template, filled = templates.codes(flat)
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    owner = np.repeat(np.arange(len(blocks)), sizes)
-    parts = []
-    for n in lengths_of(sizes):
-        if len(flat) < n:
-            continue
-        at = np.arange(len(flat) - n + 1)
-        keep = at + n <= ends[: len(at)]
-        t, s = _rolling(template, n), _rolling(filled, n)
-        if wanted is not None:
-            look = _both(t, s) if exact else t
-            spot = np.minimum(np.searchsorted(wanted, look), len(wanted) - 1)
-            keep &= wanted[spot] == look
-        at = np.flatnonzero(keep)
-        slots = [[w if filled[a + k] else "" for k, w in enumerate(flat[a : a + n])] for a in at] if with_slots else [None] * len(at)
-        parts.append(pd.DataFrame({"id": ids[owner[at]], "len": n, "template": t[at].view(np.int64), "filled": s[at].view(np.int64), "slots": pd.Series(slots, dtype=object)}))
-    if not parts:
-        parts = [pd.DataFrame({"id": np.zeros(0, np.int64), "len": np.zeros(0, np.int64), "template": np.zeros(0, np.int64), "filled": np.zeros(0, np.int64), "slots": pd.Series([], dtype=object)})]
-    return pd.concat(parts, ignore_index=True)
-
-
-def _both(template: np.ndarray, filled: np.ndarray) -> np.ndarray:
+def _swapped(hashes: np.ndarray, codes: np.ndarray, other: np.ndarray, n: int, mask: int) -> np.ndarray:
+    """The hashes of `codes` once those at the positions of a window that `mask` has are taken from `other`."""
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            if mask >> j & 1:
+                hashes = hashes + (other - codes)[j : len(hashes) + j] * np.uint64(pow(_BASE, n - 1 - j, 1 << 64))
+    return hashes
+
+
+def _both(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return template * np.uint64(0xD6E8FEB86659FD93) + filled
+        return first * np.uint64(0xD6E8FEB86659FD93) + second
+
+
+class _Wanted:
+    """The hashes that are looked for: a table four to eight times as long sorts most windows out, a search settles the rest."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes)
+        bits = len(self.hashes).bit_length() + 2
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[self.hashes >> self.shift] = True
+
+    def places(self, found: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(self.table[found >> self.shift])
+        spot = np.minimum(np.searchsorted(self.hashes, found[at]), len(self.hashes) - 1)
+        return at[self.hashes[spot] == found[at]]
+
 
+class _Texts:
+    """The words of a batch of texts (id, text) and their windows."""
 
-_WINDOWS = "id long, len int, template long, filled long, slots array<string>"
+    def __init__(self, batch: pd.DataFrame, templates: Templates):
+        blocks = [(i, w) for i, t in zip(batch["id"], batch["text"], strict=True) for w in word_blocks(t)]
+        self.ids = np.array([i for i, _ in blocks], np.int64)
+        self.sizes = np.array([len(w) for _, w in blocks], np.int64)
+        self.words = [x for _, w in blocks for x in w]
+        self.template, self.word = templates.codes(self.words)
+        self.typed = self.template != self.word
+        self.filled = np.where(self.typed, self.word, np.uint64(0))
+        self.named = np.where(self.typed, self.template, _NAME)
+        self.ends = np.repeat(np.cumsum(self.sizes), self.sizes)
+        self.owner = np.repeat(np.arange(len(blocks)), self.sizes)
 
+    def inside(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Those places from which n words lie in one block."""
+        return at[at + n <= self.ends[at]]
 
-def item_names(items: DataFrame, text: str, most: int = MAX_NAMES) -> list[str]:
-    """Names in the items, lower case: capitalised words inside a sentence. None at all where there are more than `most`,
-    which only makes templates stricter: verbatim passages are found with or without."""
+    def plain(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        return _rolling(self.word, n), _rolling(self.word, n, _BASE_2)
+
+    def templates(self, n: int, masks: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(mask, template, filled) of all windows with any word taken for a name where the mask says so."""
+        t, s = _rolling(self.template, n), _rolling(self.filled, n)
+        for m in masks:
+            yield m, _swapped(t, self.template, self.named, n, m), _swapped(s, self.filled, self.word, n, m)
+
+    def slots(self, a: int, n: int, mask: int) -> list[str]:
+        return [w if self.typed[a + k] or mask >> k & 1 else "" for k, w in enumerate(self.words[a : a + n])]
+
+
+_ITEM_WINDOWS = "id long, len int, mask long, template long, filled long, slots array<string>, plain long, plain_2 long"
+_PLAIN = "doc_id long, len int, plain long, plain_2 long"
+_TEMPLATES = "doc_id long, len int, mask long, template long, filled long, slots array<string>"
+
+
+def _item_windows(batch: pd.DataFrame, templates: Templates, window: int) -> Iterator[pd.DataFrame]:
+    """Windows of items (id, text, names); `mask` has the positions of names, unless no word of the template would be left."""
+    for i in range(len(batch)):
+        names = frozenset(batch["names"].iloc[i])
+        texts = _Texts(batch.iloc[i : i + 1], templates)
+        if not len(texts.sizes):
+            continue
+        n = min(window, int(texts.sizes[0]))
+        at = texts.inside(np.arange(len(texts.words) - n + 1), n)
+        isname = np.array([w in names for w in texts.words]) & ~texts.typed
+        masks = [sum(1 << k for k in range(n) if isname[a + k]) for a in at]
+        masks = [0 if (isname | texts.typed)[a : a + n].all() else m for a, m in zip(at, masks, strict=True)]
+        made = {m: (t, s) for m, t, s in texts.templates(n, sorted(set(masks)))}
+        plain, plain_2 = texts.plain(n)
+        rows = [(texts.ids[texts.owner[a]], n, m, *(int(x.view(np.int64)) for x in (made[m][0][a], made[m][1][a])), texts.slots(a, n, m), int(plain[a].view(np.int64)), int(plain_2[a].view(np.int64))) for a, m in zip(at, masks, strict=True)]
+        yield pd.DataFrame(rows, columns=["id", "len", "mask", "template", "filled", "slots", "plain", "plain_2"])
+
+
+def item_names(items: DataFrame, text: str) -> DataFrame:
+    """(word): names in the items, lower case: capitalised words inside a sentence."""
     found = items.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?<=[\p{Ll},] )\p{Lu}\p{Ll}+"), F.lit(0))).alias("w"))
-    names = found.select(F.lower("w").alias("w")).distinct().limit(most + 1).collect()
-    return sorted(r[0] for r in names) if len(names) <= most else []
+    return found.select(F.lower("w").alias("word")).distinct()
 
 
 class LeakSearch:
     """Items against documents through windows of typed templates.
 
-    Both texts become templates: numbers, units and names turn into typed placeholders. A hash join on 12-word template
-    windows (all words of an item with fewer) finds candidates; what filled the slots then decides: equal words mean a
-    verbatim passage, other words that replace each other one to one throughout the window a re-parameterised question.
+    Both texts become templates: numbers and units turn into typed placeholders, and so do the names of items, wherever they
+    stand; there any word of a document may stand but a number, a unit or a word that items use otherwise than as a name, so
+    names need not be known on its side. A hash join
+    on 12-word template windows (all words of an item with fewer), one pass for each pattern of name positions, finds
+    candidates; what filled the slots then decides: other words that replace each other one to one throughout the window
+    mean a re-parameterised question. Verbatim passages are found by the words themselves.
 
     The distinct hashes of item windows are broadcast to the scan of the documents up to a checked count, so that only
-    windows which meet one leave it; beyond that count all windows go into the join. Whole texts are searched, long ones in
-    overlapping blocks. Null or empty texts, items without words, repeated rows and other columns are harmless; rows with
-    null ids are left out.
+    windows which meet one leave it; beyond that count all windows go into the join. Names are found and matched by joins,
+    however many there are. Whole texts are searched, long ones in overlapping blocks. Null or empty texts, items without
+    words, repeated rows and other columns are harmless; rows with null ids are left out.
     """
 
     def __init__(self, items: DataFrame, item_id: str, text: str, window: int = WINDOW, most: int = MAX_BROADCAST_WINDOWS):
         spark = items.sparkSession
         runtime.ship_package(spark)
-        self.most, self.window = most, window
-        names = item_names(items, text)
+        self.most = most
 
         def of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            templates = Templates(names)
+            templates = Templates()
             for batch in batches:
-                for i in range(len(batch)):
-                    one = batch.iloc[i : i + 1]
-                    yield _texts_windows(one, lambda sizes: [min(window, int(sizes[0]))] if len(sizes) else [], templates, None, True, False)
+                yield from _item_windows(batch, templates, window)
 
-        self.names = names
-        rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("id"), F.col(text).alias("text"))
-        self.items = runtime.materialise(rows.mapInPandas(of_items, _WINDOWS).distinct())
+        rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("id"), F.col(text).alias("text")).distinct()
+        words = rows.select("id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
+        names = item_names(items, text)
+        self.common = runtime.materialise(words.select("word").distinct().join(names, "word", "left_anti"))
+        named = words.join(names, "word").groupBy("id", "text").agg(F.collect_list("word").alias("names"))
+        rows = rows.join(named, ["id", "text"], "left").select("id", "text", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+        self.items = runtime.materialise(rows.mapInPandas(of_items, _ITEM_WINDOWS).distinct())
         self.lengths = sorted(r[0] for r in self.items.select("len").distinct().collect())  # at most `window` numbers
 
-    def _wanted(self, exact: bool) -> np.ndarray | None:
-        columns = ["template", "filled"] if exact else ["template"]
+    def _wanted(self, *columns: str) -> pd.DataFrame | None:
         rows = self.items.select(*columns).distinct()
-        if rows.count() > self.most:
-            return None
-        found = rows.toPandas()
-        template = found["template"].to_numpy(np.int64).view(np.uint64)
-        return np.unique(_both(template, found["filled"].to_numpy(np.int64).view(np.uint64)) if exact else template)
-
-    def _doc_windows(self, docs: DataFrame, doc_id: str, text: str, exact: bool) -> DataFrame:
-        wanted, names, lengths = self._wanted(exact), self.names, self.lengths
-        shared = docs.sparkSession.sparkContext.broadcast(wanted)
+        return None if rows.count() > self.most else rows.toPandas()
 
+    def _doc_windows(self, docs: DataFrame, doc_id: str, text: str, of_texts, schema: str) -> DataFrame:
         def of_docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            templates = Templates(names)
+            templates = Templates()
             for batch in batches:
-                yield _texts_windows(batch, lambda sizes: lengths, templates, shared.value, not exact, exact)
+                yield from of_texts(_Texts(batch, templates))
 
         rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-        return rows.mapInPandas(of_docs, _WINDOWS).withColumnRenamed("id", "doc_id")
+        return rows.mapInPandas(of_docs, schema)
 
     def verbatim(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-        """(doc_id, item_id): documents with a passage of the item, its slots filled alike."""
-        mine = self.items.select("len", "template", "filled", F.col("id").alias("item_id")).distinct()
-        d = self._doc_windows(docs, doc_id, text, True).select("doc_id", "len", "template", "filled").distinct()
-        return d.join(mine, ["len", "template", "filled"]).select("doc_id", "item_id").distinct()
+        """(doc_id, item_id): documents with a passage of the item."""
+        rows, lengths = self._wanted("len", "plain", "plain_2"), self.lengths
+        unsigned = lambda c: c.to_numpy(np.int64).view(np.uint64)
+        wanted = None if rows is None else {int(n): _both(unsigned(g["plain"]), unsigned(g["plain_2"])) for n, g in rows.groupby("len")}
+        shared = docs.sparkSession.sparkContext.broadcast(wanted)
+        tables: dict[int, _Wanted] = {}
+
+        def windows(texts: _Texts) -> Iterator[pd.DataFrame]:
+            for n in lengths:
+                if len(texts.words) >= n:
+                    first, second = texts.plain(n)
+                    if shared.value is not None and n not in tables:
+                        tables[n] = _Wanted(shared.value[n])
+                    at = texts.inside(np.arange(len(first)) if shared.value is None else tables[n].places(_both(first, second)), n)
+                    yield pd.DataFrame({"doc_id": texts.ids[texts.owner[at]], "len": n, "plain": first[at].view(np.int64), "plain_2": second[at].view(np.int64)})
+
+        mine = self.items.select("len", "plain", "plain_2", F.col("id").alias("item_id")).distinct()
+        d = self._doc_windows(docs, doc_id, text, windows, _PLAIN).distinct()
+        return d.join(mine, ["len", "plain", "plain_2"]).select("doc_id", "item_id").distinct()
 
     def reparameterised(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         """(doc_id, item_id, n_windows): distinct passages of an item's template whose slots hold other words, consistently."""
-        mine = self.items.select("len", "template", F.col("filled").alias("item_filled"), F.col("slots").alias("item_slots"), F.col("id").alias("item_id"))
-        d = self._doc_windows(docs, doc_id, text, False).dropDuplicates(["doc_id", "len", "template", "filled"])
-        both = d.join(mine, ["len", "template"]).where(F.col("filled") != F.col("item_filled"))
+        rows = self._wanted("len", "mask", "template")
+        patterns: dict[int, list[int]] = {}
+        for r in self.items.select("len", "mask").distinct().collect():  # at most 2^len a length, far fewer in texts
+            patterns.setdefault(r["len"], []).append(r["mask"])
+        wanted = None if rows is None else {(int(n), int(m)): g["template"].to_numpy(np.int64).view(np.uint64) for (n, m), g in rows.groupby(["len", "mask"])}
+        shared = docs.sparkSession.sparkContext.broadcast(wanted)
+        tables: dict[tuple[int, int], _Wanted] = {}
+
+        def windows(texts: _Texts) -> Iterator[pd.DataFrame]:
+            for n, masks in patterns.items():
+                if len(texts.words) < n:
+                    continue
+                for m, t, s in texts.templates(n, masks):
+                    if shared.value is not None and (n, m) not in tables:
+                        tables[n, m] = _Wanted(shared.value[n, m])
+                    at = texts.inside(np.arange(len(t)) if shared.value is None else tables[n, m].places(t), n)
+                    slots = pd.Series([texts.slots(a, n, m) for a in at], dtype=object)
+                    yield pd.DataFrame({"doc_id": texts.ids[texts.owner[at]], "len": n, "mask": m, "template": t[at].view(np.int64), "filled": s[at].view(np.int64), "slots": slots})
+
+        mine = self.items.select("len", "mask", "template", F.col("filled").alias("item_filled"), F.col("slots").alias("item_slots"), F.col("id").alias("item_id"))
+        d = self._doc_windows(docs, doc_id, text, windows, _TEMPLATES).dropDuplicates(["doc_id", "len", "mask", "template", "filled"])
+        d, key = runtime.materialise(d), ["doc_id", "len", "mask", "template", "filled"]
+        names = d.select(*key, F.explode(F.expr("filter(slots, (w, i) -> (shiftright(mask, i) & 1) = 1)")).alias("word"))
+        d = d.join(names.join(self.common, "word").select(*key).distinct(), key, "left_anti")
+        both = d.join(mine, ["len", "mask", "template"]).where(F.col("filled") != F.col("item_filled"))
         kinds = lambda c: F.size(F.array_distinct(c))
         pairs = kinds(F.arrays_zip("slots", "item_slots"))
         return both.where((pairs == kinds("slots")) & (pairs == kinds("item_slots"))).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"))
