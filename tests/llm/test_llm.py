@@ -267,3 +267,11 @@ def test_names_that_no_item_has(spark, most):
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     assert sorted(x["doc_id"] for x in search.reparameterised(docs, "id", "text").collect()) == [0, 1]
     assert search.verbatim(docs, "id", "text").count() == 0
+
+
+def test_any_number_of_names(spark):
+    name = lambda i: "Q" + "".join(chr(97 + int(c)) for c in f"{i:05}")
+    rows = [(i, f"the guide told {name(i)} that") for i in range(10_001)] + [(20_000, "why did Qaaaab give 12 pears to Qaaaac while Qaaaab kept 12 plums here")]
+    docs = spark.createDataFrame([(1, "why did Qaaaad give 12 pears to Qaaaae while Qaaaad kept 12 plums here")], "id long, text string")
+    got = leaks.LeakSearch(spark.createDataFrame(rows, "id long, text string"), "id", "text").reparameterised(docs, "id", "text")
+    assert [(x["doc_id"], x["item_id"]) for x in got.collect()] == [(1, 20_000)]
