@@ -277,10 +277,11 @@ def view_per_name_cap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _page(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of a query with the time their record was last seen as mtime."""
+    """All hits of a query with the time their record was last seen as mtime; rank_pos orders them as a rank would, without a
+    count through all of them."""
     v = volume_of(spark, d)
     hits, query = V.search(v, "re")
-    ranked = V.top_ranked(hits, query, front.FETCH_ROWS)
+    ranked = hits.withColumn("rank_pos", F.struct(V.rank_class(query, False).alias("class"), X.path_length(F.col("path")).alias("path_len"), F.col("id")))
     seen = read_table(spark, d, "raw_record").groupBy(F.col("ord").alias("id")).agg(F.max("seen_at").alias("mtime"))
     return ranked.join(seen, "id", "left")
 
@@ -297,7 +298,7 @@ def view_folders_newest(spark: SparkSession, d: str) -> DataFrame:
 def view_page(spark: SparkSession, d: str) -> DataFrame:
     """Rows 11 to 40 of the finished page."""
     rows = _page(spark, d)
-    return view.fetch_rows(view.page_of(rows, 2000, "re", "c:\\lab", ["temp"], RULES), 11, 30).select(F.col("row_no").cast("long").alias("row_no"), "id")
+    return view.fetch_rows(view.page_of(rows, rows.count(), "re", "c:\\lab", ["temp"], RULES), 11, 30).select(F.col("row_no").cast("long").alias("row_no"), "id")
 
 
 def view_properties(spark: SparkSession, d: str) -> DataFrame:
