@@ -1,6 +1,7 @@
 """Change folds, orphan references and parent-link forests against brute force, with nulls, ties, repeats and empty tables."""
 
 import itertools
+import os
 import random
 
 import pytest
@@ -190,3 +191,57 @@ def test_trees_below_cycles_have_descendants(spark, rows, monkeypatch, seed, byt
     assert rows(hierarchy.marked_descendants(links, forest, root)) == [(*p, p[1] in circular) for p in want]
     counts = {a: sum(p[0] == a for p in want) for a, _, _ in want}
     assert rows(hierarchy.subtree_totals(links, forest, root, {"n": F.count(F.lit(1))})) == sorted(counts.items())
+
+
+def ends_by_hand(parent, root):
+    """{node: (top, depth)} by walks that stop at nodes known already."""
+    out = {}
+    for start in parent:
+        path, places, x = [], {}, start
+        while True:
+            if x in out:
+                top, depth = out[x]
+            elif x in places:
+                top, depth = min(path[places[x] :]), -1
+            elif parent[x] == root:
+                top, depth = root, 0
+                out[x] = top, depth
+            elif parent[x] not in parent:
+                top, depth = x, 0
+                out[x] = top, depth
+            else:
+                places[x] = len(path)
+                path.append(x)
+                x = parent[x]
+                continue
+            break
+        for i, y in enumerate(reversed(path), 1):
+            out[y] = (top, -1 if depth == -1 else depth + i)
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+@pytest.mark.parametrize(("tab", "make", "root", "sizes"), [("raw_record", hierarchy.record_links, "root_frn", (2, 20, 400, 4000, None)), ("entry", hierarchy.entry_links, "root_id", (20, 4000, None))])
+def test_forest_of_whole_tables_at_every_size_of_the_last_task(spark, tab, make, root, sizes):
+    d = "/root/testdata/sf0.1"
+    root = runtime.read_table(spark, d, "volume_info").first()[root]
+    shape = [(10**9 + i, 10**9 + i - 1 if i else root, "") for i in range(71)] + [(2 * 10**9 + i, 2 * 10**9 + (i + 1) % 50, "") for i in range(50)] + [(3 * 10**9, 2 * 10**9 + 9, "")]
+    links = make(runtime.read_table(spark, d, tab)).unionByName(spark.createDataFrame(shape, "node long, parent long, name string"))
+    links = runtime.materialise(links.select("node", "parent"))
+    want = ends_by_hand({r["node"]: r["parent"] for r in links.collect()}, root)
+    assert want[10**9 + 70] == (root, 70) and want[3 * 10**9] == (2 * 10**9, -1)
+    for merge_rows in sizes:
+        got = {r["node"]: (r["top"], r["depth"]) for r in hierarchy.resolve_forest(links, F.lit(root).cast("long"), merge_rows).collect()}
+        assert got == want
+
+
+def test_forest_of_keys_that_no_float_holds(spark, rows):
+    big = (1 << 62) + 1
+    parent = {big + i: big + i - 1 for i in range(1, 9)} | {big: None}
+    links = runtime.materialise(spark.createDataFrame(list(parent.items()), "node long, parent long"))
+    for merge_rows in (1000, 2):
+        forest = runtime.materialise(hierarchy.resolve_forest(links, F.lit(5).cast("long"), merge_rows))
+        assert rows(forest) == forest_by_hand(parent, 5)
+    named = links.withColumn("name", F.lit("x"))
+    paths = {r["node"]: r["path"] for r in hierarchy.materialise_paths(named, forest, F.lit(5).cast("long"), "C:").collect()}
+    assert paths[big + 8] == "<orphan>" + "\\x" * 9

@@ -17,111 +17,108 @@ from .. import schema as S
 MERGE_ROWS = 2_000_000
 #: Bytes of ancestor chains that one task makes at most.
 CHAIN_BYTES = 1 << 28
-_STATE = "node long, ptr long, off long, low long, top long"
+#: `off` steps lead up from `node` to `ptr`, the least node on the way being `low`; open: the way goes on from there. Of a
+#: closed link `ptr` is the top, and `off` is -1 on or below a cycle. No column is ever null, so that keys stay integers.
+_LINKS = "node long, ptr long, off long, low long, open boolean"
 
 
-def _merge_links(links: pd.DataFrame, closed: bool) -> pd.DataFrame:
-    """Weighted disjoint sets of one task's links with full path compression.
+def _merge_links(links: pd.DataFrame, whole: bool) -> pd.DataFrame:
+    """Weighted disjoint sets of one task's links (see _LINKS) with full path compression.
 
-    A row says that `off` steps lead up from `node` to `ptr`, the least node on the way being `low`; `ptr` null means that
-    `top` was reached after `off` steps (-1: on or below a cycle). Every pass doubles the steps behind all pointers at once.
-    `closed`: all links are here, so a pointer to an unknown node ends at the node itself.
+    Every pass doubles the steps behind all pointers at once. `whole`: all links are here, so a pointer to an unknown node
+    ends at the node itself.
     """
     links = links.sort_values("node", ignore_index=True)
-    node = links["node"].to_numpy(np.int64)
-    done = links["ptr"].isna().to_numpy()
-    ptr = links["ptr"].fillna(0).to_numpy(np.int64)
-    off, low = links["off"].to_numpy(np.int64), links["low"].to_numpy(np.int64)
-    top = links["top"].fillna(0).to_numpy(np.int64)
+    node, ptr, off, low = (links[c].to_numpy(np.int64).copy() for c in ("node", "ptr", "off", "low"))
+    going = links["open"].to_numpy(bool).copy()
+    ring = ~going & (off == -1)
     n = len(node)
     at = np.minimum(np.searchsorted(node, ptr), max(n - 1, 0))
-    nxt = np.where(~done & (node[at] == ptr), at, -1) if n else np.zeros(0, np.int64)
-    if closed:
-        lost = ~done & (nxt < 0)
-        top[lost], off[lost], done[lost] = node[lost], 0, True
+    nxt = np.where(going & (node[at] == ptr), at, -1) if n else np.zeros(0, np.int64)
+    if whole:
+        lost = going & (nxt < 0)
+        ptr[lost], off[lost], going[lost] = node[lost], 0, False
     for _ in range(n.bit_length() + 1):
         go = np.flatnonzero(nxt >= 0)
         if not len(go):
             break
         to = nxt[go]
-        values = off[go] + off[to], np.minimum(low[go], low[to]), nxt[to], ptr[to], top[to], done[to]
-        off[go], low[go], nxt[go], ptr[go], top[go], done[go] = values
-    ring = nxt >= 0  # still moving after n steps: `nxt` lies on the cycle and its `low` has seen all of it
-    top[ring], off[ring], done[ring] = low[nxt[ring]], -1, True
-    return pd.DataFrame({"node": node, "ptr": pd.array(ptr, "Int64"), "off": off, "low": low, "top": pd.array(top, "Int64")}).assign(ptr=lambda d: d["ptr"].mask(done), top=lambda d: d["top"].mask(~done))
+        values = off[go] + off[to], np.minimum(low[go], low[to]), nxt[to], ptr[to], going[to], ring[to]
+        off[go], low[go], nxt[go], ptr[go], going[go], ring[go] = values
+    turning = nxt >= 0  # still moving after n steps: `nxt` lies on the cycle and its `low` has seen all of it
+    ptr[turning], going[turning] = low[nxt[turning]], False
+    off[ring | turning] = -1
+    return pd.DataFrame({"node": node, "ptr": ptr, "off": off, "low": low, "open": going})
 
 
-def _merger(closed: bool):
+def _merger(whole: bool):
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
         if parts:
-            whole = _merge_links(pd.concat(parts, ignore_index=True), closed)
-            for i in range(0, len(whole), 100_000):
-                yield whole.iloc[i : i + 100_000]
+            merged = _merge_links(pd.concat(parts, ignore_index=True), whole)
+            for i in range(0, len(merged), 100_000):
+                yield merged.iloc[i : i + 100_000]
 
     return merge
 
 
-def _jump(active: DataFrame, state: DataFrame) -> DataFrame:
-    """Carry every active link on by what is known of the node it points to."""
-    far = state.select(F.col("node").alias("__n"), *[F.col(c).alias(f"__{c}") for c in ("ptr", "off", "low", "top")])
-    ring = F.col("__off") == -1
-    off = F.when(ring, F.lit(-1)).otherwise(F.col("off") + F.col("__off"))
-    return active.join(far, F.col("ptr") == F.col("__n")).select("node", F.col("__ptr").alias("ptr"), off.cast("long").alias("off"), F.least("low", "__low").alias("low"), F.col("__top").alias("top"))
+def _onward(links: DataFrame, known: DataFrame, follow: Column, where: str) -> DataFrame:
+    """Open links whose pointer has a row in `known` that `follow` accepts go on by what that row says; others stay."""
+    far = known.select(F.col("node").alias("__n"), *[F.col(c).alias(f"__{c}") for c in ("ptr", "off", "low", "open")])
+    joined = links.join(far, F.col("open") & (F.col("ptr") == F.col("__n")), where)
+    go = F.coalesce(F.col("open") & F.col("__n").isNotNull() & follow, F.lit(False))
+    circular = ~F.col("__open") & (F.col("__off") == -1)
+    return joined.select(
+        "node", F.when(go, F.col("__ptr")).otherwise(F.col("ptr")).alias("ptr"), F.when(go & circular, F.lit(-1)).when(go, F.col("off") + F.col("__off")).otherwise(F.col("off")).cast("long").alias("off"),
+        F.when(go, F.least("low", "__low")).otherwise(F.col("low")).alias("low"), F.when(go, F.col("__open")).otherwise(F.col("open")).alias("open"),
+    )
 
 
 def _inner_forest(inner: DataFrame, merge_rows: int) -> DataFrame:
-    """(node, top, off) of the links (node, ptr, top) of nodes that are parents; ptr null where `top` is known.
-
-    Levels: while more links are open than one task may hold, tasks compress the chains they hold, a join carries each on
-    to where its end leads in other tasks, and the rest goes to fewer tasks; the last level is one task. Chains halve with
-    every level, so what is open after log2(all) levels lies on or below a cycle.
+    """(node, top, off) of the links (node, parent, open) of nodes that are parents.
+
+    While more links are left than the last task may hold, a level shrinks them: tasks hold ranges of nodes and compress
+    the chains inside; a join then closes links that lead to closed ones, and cuts out about a quarter of the nodes of every
+    chain (those that a coin by hash says, where it spares the next); only nodes that others still point to go on to the
+    next level. The last level is one task. Then the levels are gone through backwards: a link of a level that was left open
+    ends where the node it points to, known from the level above, ends. Levels shrink geometrically, whatever the shape, so
+    all of them together cost a few times the first.
     """
-    runtime.ship_package(inner.sparkSession)
-    total = inner.count()
-    off = F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long").alias("off")
-    if total <= merge_rows:
-        return inner.select("node", "ptr", off, F.col("node").alias("low"), "top").coalesce(1).mapInPandas(_merger(True), _STATE).select("node", "top", "off")
-    there = inner.select(F.col("node").alias("__k"))
-    lost = F.col("ptr").isNotNull() & F.col("__k").isNull()
-    known = inner.join(there, F.col("ptr") == F.col("__k"), "left").select("node", F.when(~lost, F.col("ptr")).alias("ptr"), F.when(lost, F.col("node")).otherwise(F.col("top")).alias("top"))
-    state, level = runtime.materialise(known.select("node", "ptr", off, F.col("node").alias("low"), "top")), 0
-    while n := (active := state.where(F.col("ptr").isNotNull())).count():
-        done = state.where(F.col("ptr").isNull())
-        if n <= merge_rows:
-            rest = runtime.materialise(_settle(active, done))
-            last = rest.where(F.col("ptr").isNotNull()).coalesce(1).mapInPandas(_merger(False), _STATE)
-            state = done.unionByName(rest.where(F.col("ptr").isNull())).unionByName(last)
-            break
-        if 2**level > 2 * total:
-            far = state.select(F.col("node").alias("__n"), F.col("low").alias("__low"))
-            ring = active.join(far, F.col("ptr") == F.col("__n"))
-            state = done.unionByName(ring.select("node", F.lit(None).cast("long").alias("ptr"), F.lit(-1).cast("long").alias("off"), "low", F.col("__low").alias("top")))
-            break
-        local = active.repartition(math.ceil(n / merge_rows), "node").mapInPandas(_merger(False), _STATE)
-        state = runtime.materialise(done.unionByName(local))
-        state = runtime.materialise(state.where(F.col("ptr").isNull()).unionByName(_jump(state.where(F.col("ptr").isNotNull()), state)))
-        level += 1
-    return state.select("node", "top", "off")
-
-
-def _settle(active: DataFrame, done: DataFrame) -> DataFrame:
-    """Close active links whose pointer leads to a closed one; the others stay as they are."""
-    far = done.select(F.col("node").alias("__n"), F.col("off").alias("__off"), F.col("top").alias("__top"))
-    hit = F.col("__n").isNotNull()
-    off = F.when(~hit, F.col("off")).when(F.col("__off") == -1, F.lit(-1)).otherwise(F.col("off") + F.col("__off"))
-    return active.join(far, F.col("ptr") == F.col("__n"), "left").select("node", F.when(~hit, F.col("ptr")).alias("ptr"), off.cast("long").alias("off"), "low", F.when(hit, F.col("__top")).alias("top"))
+    spark = inner.sparkSession
+    runtime.ship_package(spark)
+    n = inner.count()
+    if n > merge_rows:
+        there = inner.select(F.col("node").alias("__k"))
+        joined = inner.join(there, F.col("open") & (F.col("ptr") == F.col("__k")), "left")
+        lost = F.col("open") & F.col("__k").isNull()
+        inner = joined.select("node", F.when(lost, F.col("node")).otherwise(F.col("ptr")).alias("ptr"), (F.col("open") & ~lost).alias("open"))
+    links = inner.select("node", "ptr", F.col("open").cast("long").alias("off"), F.col("node").alias("low"), "open")
+    levels: list[DataFrame] = []
+    while n > merge_rows:
+        tasks = max(min(math.ceil(n / merge_rows), runtime.slots(spark)), math.ceil(n / MERGE_ROWS))
+        local = runtime.materialise(links.repartitionByRange(tasks, "node").mapInPandas(_merger(False), _LINKS))
+        heads = lambda c: F.xxhash64(c, F.lit(len(levels))).bitwiseAND(F.lit(1)) == 1  # noqa: B023, E731
+        cut = ~F.col("__open") | (~heads("__n") & heads("__ptr"))
+        levels.append(runtime.materialise(_onward(local, local, cut, "left")))
+        wanted = levels[-1].where("open").select(F.col("ptr").alias("node")).distinct()
+        links = runtime.materialise(levels[-1].join(wanted, "node", "left_semi"))
+        n = links.count()
+    done = links.coalesce(1).mapInPandas(_merger(True), _LINKS)
+    for level in reversed(levels):
+        done = runtime.materialise(_onward(level, done, F.lit(True), "left"))
+    end = F.when(F.col("open"), F.raise_error(F.lit("a link without a top"))).otherwise(F.col("ptr"))
+    return done.select("node", end.cast("long").alias("top"), "off")
 
 
 def parent_links(links: DataFrame, root: Column) -> DataFrame:
-    """(node, ptr, top) of the nodes that have children: ptr null where the way up ends at once, at `top`."""
+    """(node, ptr, open) of the nodes that have children: ptr is the parent, or where the way up ends at once."""
     up = F.col("parent").isNotNull() & (F.col("parent") != root)
     parents = links.where(up).select(F.col("parent").alias("node")).distinct()
     inner = links.join(parents, "node", "left_semi")
-    return inner.select("node", F.when(up, F.col("parent")).alias("ptr"), F.when(~up, F.coalesce("parent", "node")).alias("top"))
+    return inner.select("node", F.coalesce("parent", "node").alias("ptr"), F.coalesce(up, F.lit(False)).alias("open"))
 
 
-def resolve_forest(links: DataFrame, root: Column, merge_rows: int = MERGE_ROWS) -> DataFrame:
+def resolve_forest(links: DataFrame, root: Column, merge_rows: int | None = None) -> DataFrame:
     """(node, parent, top, depth) of every node of `links` (node long unique, parent long).
 
     Going up ends at the root (top = root), at a node with a null or absent parent (top = that node), or in a cycle
@@ -131,11 +128,11 @@ def resolve_forest(links: DataFrame, root: Column, merge_rows: int = MERGE_ROWS)
     hang on them by one join. A parent with a third of all children is one row among the parents, and adaptive skew
     handling splits its children in that join. `links` is read three times: pass a materialised table.
     """
-    forest = _inner_forest(runtime.materialise(parent_links(links, root)), merge_rows)
+    forest = _inner_forest(runtime.materialise(parent_links(links, root)), MERGE_ROWS if merge_rows is None else merge_rows)
     found = forest.select(F.col("node").alias("__n"), F.col("top").alias("__top"), F.col("off").alias("__off"))
     joined = links.join(found, F.col("parent") == F.col("__n"), "left")
     at_root = F.coalesce(F.col("parent") == root, F.lit(False))
-    top = F.when(at_root, F.col("parent")).otherwise(F.coalesce("__top", "node"))
+    top = F.when(at_root, F.col("parent")).otherwise(F.when(F.col("__n").isNull(), F.col("node")).otherwise(F.col("__top")))
     depth = F.when(at_root | F.col("__n").isNull(), F.lit(0)).when(F.col("__off") == -1, F.lit(-1)).otherwise(F.col("__off") + 1)
     return joined.select("node", "parent", top.alias("top"), depth.cast("int").alias("depth"))
 
@@ -148,7 +145,7 @@ def _walk(batches: Iterator[pd.DataFrame], join) -> Iterator[pd.DataFrame]:
     rows = pd.concat(parts, ignore_index=True).sort_values("depth", ignore_index=True)
     made: dict = {}
     for node, ptr, chain in zip(rows["node"], rows["ptr"], rows["chain"], strict=True):
-        above = None if pd.isna(ptr) else made.get(int(ptr))
+        above = made.get(ptr) if ptr != node else None
         made[node] = chain if above is None else join(above, chain)
     for i in range(0, len(rows), 10_000):
         some = rows["node"].iloc[i : i + 10_000]
@@ -171,7 +168,7 @@ def _ancestor_chains(sound: DataFrame, root: Column, value: Column, width: Colum
     if n <= MERGE_ROWS and (steps or 0) * (widest or 0) <= CHAIN_BYTES:
         runtime.ship_package(sound.sparkSession)
         kind = dict(state.dtypes)["chain"]
-        return inner.select("node", "ptr", "chain", "depth").coalesce(1).mapInPandas(lambda batches: _walk(batches, join_python), f"node long, chain {kind}")
+        return inner.select("node", F.coalesce("ptr", "node").alias("ptr"), "chain", "depth").coalesce(1).mapInPandas(lambda batches: _walk(batches, join_python), f"node long, chain {kind}")
     for _ in range(n.bit_length() + 1):
         if not state.where(F.col("ptr").isNotNull()).limit(1).count():
             break
