@@ -275,3 +275,13 @@ def test_any_number_of_names(spark):
     docs = spark.createDataFrame([(1, "why did Qaaaad give 12 pears to Qaaaae while Qaaaad kept 12 plums here")], "id long, text string")
     got = leaks.LeakSearch(spark.createDataFrame(rows, "id long, text string"), "id", "text").reparameterised(docs, "id", "text")
     assert [(x["doc_id"], x["item_id"]) for x in got.collect()] == [(1, 20_000)]
+
+
+def test_compression_decides_about_pages(spark):
+    docs = [(k, t, "en") for k, t in (SPAM | FINE).items()] + [(100 + i, PROSE[i % 40 :] + PROSE, "en") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    found = lambda **options: {x["doc_id"] for x in pages.advertising_pages(df, "doc_id", "text", "lang", **options).collect()}
+    assert found(redundancy=0.0, in_sentences=0.0) == set()
+    assert len(found(redundancy=1e9, in_sentences=1e9)) > len(SPAM)  # without the test every page counts
+    repeats = spark.createDataFrame([(1, "If you want led lamp deal led lamp buy. Our led lamp sale led lamp store! Get led lamp online led lamp outlet. " * 3, "en"), (2, PROSE * 4, "en")], "doc_id long, text string, lang string")
+    assert [x["doc_id"] for x in pages.advertising_pages(repeats, "doc_id", "text", "lang").collect()] == [1]
