@@ -283,5 +283,5 @@ def test_compression_decides_about_pages(spark):
     found = lambda **options: {x["doc_id"] for x in pages.advertising_pages(df, "doc_id", "text", "lang", **options).collect()}
     assert found(redundancy=0.0, in_sentences=0.0) == set()
     assert len(found(redundancy=1e9, in_sentences=1e9)) > len(SPAM)  # without the test every page counts
-    repeats = spark.createDataFrame([(1, "If you want led lamp deal led lamp buy. Our led lamp sale led lamp store! Get led lamp online led lamp outlet. " * 3, "en"), (2, PROSE * 4, "en")], "doc_id long, text string, lang string")
+    repeats = spark.createDataFrame([(1, " ".join(f"{a} led lamp {b} led lamp {c}." for a in ("Our", "Get", "For") for b, c in itertools.permutations(("deal", "buy", "sale", "store"), 2)), "en"), (2, PROSE * 4, "en")], "doc_id long, text string, lang string")
     assert [x["doc_id"] for x in pages.advertising_pages(repeats, "doc_id", "text", "lang").collect()] == [1]
