@@ -15,10 +15,12 @@ from .. import runtime
 
 #: Words of a passage; an item with fewer counts as a whole.
 WINDOW = 12
-#: Words of one text that are held as windows at once; longer texts go through in blocks that overlap.
+#: Words that are held as windows at once: short texts go together up to this size, longer ones in blocks that overlap.
 BLOCK_WORDS = 100_000
-#: Distinct hashes of item windows up to which they are broadcast (8 bytes each); beyond it all windows are shuffled.
-MAX_BROADCAST_WINDOWS = 4_000_000
+#: Distinct windows of item templates up to which they are broadcast (48 bytes each); beyond it all windows are shuffled.
+MAX_BROADCAST_WINDOWS = 1_000_000
+#: Words of the anchor by which a template is looked up in a text at most, and candidate windows compared at once.
+ANCHOR_WORDS, CANDIDATES = 4, 500_000
 # Units that become a placeholder.
 UNITS = (
     "gram grams kilogram kilograms ounce ounces pound pounds ton tons metre metres meter meters kilometre kilometres kilometer kilometers "
@@ -27,7 +29,8 @@ UNITS = (
 ).split()
 
 _WORD = re.compile(r"[^\W_]+")
-_BASE, _BASE_2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F
+_BASE = 0x9E3779B97F4A7C15 | 1
+_CHARS = 1 << 20
 
 
 def _code(word: str) -> int:
@@ -37,134 +40,164 @@ def _code(word: str) -> int:
 _NAME = np.uint64(_code("<name>"))
 
 
-class Templates:
-    """Turns words into numbers: of the template (placeholders for numbers and units) and of the word itself."""
+class Templates(dict):
+    """Numbers words by first use; `codes` has the code of each in a template (placeholders for numbers and units) and of the
+    word itself."""
 
     def __init__(self):
+        super().__init__()
         self.units = frozenset(UNITS)
-        self.known: dict[str, tuple[int, int]] = {}
+        self.template, self.word = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
 
-    def _numbers(self, word: str) -> tuple[int, int]:
-        kind = "<number>" if word.isnumeric() else "<unit>" if word in self.units else word
-        return _code(kind), _code(word)
+    def __missing__(self, word: str) -> int:
+        n = len(self)
+        if n == len(self.word):
+            self.template, self.word = np.resize(self.template, 2 * n), np.resize(self.word, 2 * n)
+        self.template[n] = _code("<number>" if word.isnumeric() else "<unit>" if word in self.units else word)
+        self.word[n] = _code(word)
+        self[word] = n
+        return n
 
     def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of template and word; they differ where the word is a number or unit."""
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = self._numbers(w)
-        pairs = np.array([known[w] for w in words], np.uint64).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1]
+        if len(self) > 500_000:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.template[at], self.word[at]
 
 
 def word_blocks(text: str | None, block: int = BLOCK_WORDS, overlap: int = WINDOW - 1) -> Iterator[list[str]]:
     """Lower-case words (longest stretches of letters and digits) of a text, in blocks; each repeats the last `overlap`
     words of the one before, so that no window is lost."""
+    low, at = (text or "").lower(), 0
     words: list[str] = []
-    for m in _WORD.finditer((text or "").lower()):
-        words.append(m[0])
-        if len(words) == block + overlap:
-            yield words
+    while at < len(low):
+        end = at + _CHARS
+        if end < len(low) and (gap := _GAP.search(low, end)):
+            end = gap.start()
+        elif end < len(low):
+            end = len(low)
+        words += _WORD.findall(low, at, end)
+        at = end
+        while len(words) > block + overlap:
+            yield words[: block + overlap]
             words = words[block:]
     if words:
         yield words
 
 
-def _rolling(codes: np.ndarray, n: int, base: int = _BASE) -> np.ndarray:
-    """A hash of every n consecutive codes: a polynomial over 64 bits, made by n shifted additions."""
-    out = np.zeros(len(codes) - n + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(n):
-            out = out * np.uint64(base) + codes[j : len(codes) - n + 1 + j]
-    return out
+_GAP = re.compile(r"[\W_]")
 
 
-def _swapped(hashes: np.ndarray, codes: np.ndarray, other: np.ndarray, n: int, mask: int) -> np.ndarray:
-    """The hashes of `codes` once those at the positions of a window that `mask` has are taken from `other`."""
+def _rolling(codes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n consecutive codes: a polynomial over 64 bits, made by n shifted additions."""
+    out = np.zeros(max(0, len(codes) - n + 1), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(n):
-            if mask >> j & 1:
-                hashes = hashes + (other - codes)[j : len(hashes) + j] * np.uint64(pow(_BASE, n - 1 - j, 1 << 64))
-    return hashes
+            out = out * np.uint64(_BASE) + codes[j : len(codes) - n + 1 + j]
+    return out
 
 
-def _both(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+def _hashed(codes: np.ndarray) -> np.ndarray:
+    """The same hash of every row of a matrix of codes."""
+    n = codes.shape[1]
+    powers = np.array([pow(_BASE, n - 1 - j, 1 << 64) for j in range(n)], np.uint64)
     with np.errstate(over="ignore"):
-        return first * np.uint64(0xD6E8FEB86659FD93) + second
+        return (codes * powers).sum(axis=1, dtype=np.uint64)
 
 
-class _Wanted:
-    """The hashes that are looked for: a table four to eight times as long sorts most windows out, a search settles the rest."""
+class _Anchors:
+    """Templates by their anchors of one length: a bit table sorts most places of a text out, a search settles the rest."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.unique(hashes)
-        bits = len(self.hashes).bit_length() + 2
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values("anchor", ignore_index=True)
+        anchor = rows["anchor"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(anchor, kind="stable")
+        self.keys, self.first, self.count = np.unique(anchor[order], return_index=True, return_counts=True)
+        self.offset, self.len, self.mask, self.template = (rows[c].to_numpy(np.int64)[order] for c in ("offset", "len", "mask", "template"))
+        bits = len(self.keys).bit_length() + 4
         self.shift = np.uint64(64 - bits)
         self.table = np.zeros(1 << bits, bool)
-        self.table[self.hashes >> self.shift] = True
+        self.table[self.keys >> self.shift] = True
 
-    def places(self, found: np.ndarray) -> np.ndarray:
+    def candidates(self, found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(start, len, mask, template) of the windows that may stand where anchors were found, a bounded number at once."""
         at = np.flatnonzero(self.table[found >> self.shift])
-        spot = np.minimum(np.searchsorted(self.hashes, found[at]), len(self.hashes) - 1)
-        return at[self.hashes[spot] == found[at]]
+        spot = np.minimum(np.searchsorted(self.keys, found[at]), len(self.keys) - 1)
+        hit = self.keys[spot] == found[at]
+        at, spot = at[hit], spot[hit]
+        upto = np.cumsum(self.count[spot])
+        cuts = np.searchsorted(upto, np.arange(CANDIDATES, upto[-1] if len(upto) else 0, CANDIDATES))
+        for a, s in zip(np.split(at, cuts), np.split(spot, cuts), strict=True):
+            n = self.count[s]
+            v = np.repeat(self.first[s] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield np.repeat(a, n) - self.offset[v], self.len[v], self.mask[v], self.template[v]
 
 
 class _Texts:
-    """The words of a batch of texts (id, text) and their windows."""
+    """The words of some blocks (id, words) and their windows."""
 
-    def __init__(self, batch: pd.DataFrame, templates: Templates):
-        blocks = [(i, w) for i, t in zip(batch["id"], batch["text"], strict=True) for w in word_blocks(t)]
+    def __init__(self, blocks: list[tuple[int, list[str]]], templates: Templates):
         self.ids = np.array([i for i, _ in blocks], np.int64)
-        self.sizes = np.array([len(w) for _, w in blocks], np.int64)
+        sizes = np.array([len(w) for _, w in blocks], np.int64)
         self.words = [x for _, w in blocks for x in w]
         self.template, self.word = templates.codes(self.words)
         self.typed = self.template != self.word
-        self.filled = np.where(self.typed, self.word, np.uint64(0))
-        self.named = np.where(self.typed, self.template, _NAME)
-        self.ends = np.repeat(np.cumsum(self.sizes), self.sizes)
-        self.owner = np.repeat(np.arange(len(blocks)), self.sizes)
-
-    def inside(self, at: np.ndarray, n: int) -> np.ndarray:
-        """Those places from which n words lie in one block."""
-        return at[at + n <= self.ends[at]]
-
-    def plain(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        return _rolling(self.word, n), _rolling(self.word, n, _BASE_2)
-
-    def templates(self, n: int, masks: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(mask, template, filled) of all windows with any word taken for a name where the mask says so."""
-        t, s = _rolling(self.template, n), _rolling(self.filled, n)
-        for m in masks:
-            yield m, _swapped(t, self.template, self.named, n, m), _swapped(s, self.filled, self.word, n, m)
+        self.ends = np.repeat(np.cumsum(sizes), sizes)
+        self.owner = np.repeat(np.arange(len(blocks)), sizes)
+
+    def windows(self, start: np.ndarray, n: int, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(template, filled) of the windows of n words at `start`, any word but a typed one taken for a name where the mask
+        says so; `filled` hashes what stands in the places of names, numbers and units."""
+        at = start[:, None] + np.arange(n)
+        typed, named = self.typed[at], (mask[:, None] >> np.arange(n) & 1).astype(bool)
+        return _hashed(np.where(named & ~typed, _NAME, self.template[at])), _hashed(np.where(named | typed, self.word[at], np.uint64(0)))
+
+    def found(self, start: np.ndarray, n: int, mask: np.ndarray, wanted: np.ndarray | None) -> pd.DataFrame:
+        """Rows of _DOC_WINDOWS for those windows that lie in one text and, unless `wanted` is None, have that template."""
+        inside = start >= 0
+        inside[inside] = start[inside] + n <= self.ends[start[inside]]
+        start, mask = start[inside], mask[inside]
+        template, filled = self.windows(start, n, mask)
+        if wanted is not None:
+            same = template.view(np.int64) == wanted[inside]
+            start, mask, template, filled = start[same], mask[same], template[same], filled[same]
+        slots = pd.Series([self.slots(a, n, m) for a, m in zip(start.tolist(), mask.tolist(), strict=True)], dtype=object)
+        rows = pd.DataFrame({"doc_id": self.ids[self.owner[start]], "len": n, "mask": mask, "template": template.view(np.int64), "filled": filled.view(np.int64), "slots": slots})
+        return rows.drop_duplicates(["doc_id", "len", "mask", "template", "filled"])
 
     def slots(self, a: int, n: int, mask: int) -> list[str]:
         return [w if self.typed[a + k] or mask >> k & 1 else "" for k, w in enumerate(self.words[a : a + n])]
 
 
-_ITEM_WINDOWS = "id long, len int, mask long, template long, filled long, slots array<string>, plain long, plain_2 long"
-_PLAIN = "doc_id long, len int, plain long, plain_2 long"
-_TEMPLATES = "doc_id long, len int, mask long, template long, filled long, slots array<string>"
+_ITEM_WINDOWS = "id long, len int, mask long, template long, filled long, slots array<string>, k int, anchor long, offset int"
+_DOC_WINDOWS = "doc_id long, len int, mask long, template long, filled long, slots array<string>"
 
 
 def _item_windows(batch: pd.DataFrame, templates: Templates, window: int) -> Iterator[pd.DataFrame]:
-    """Windows of items (id, text, names); `mask` has the positions of names, unless no word of the template would be left."""
+    """Windows of items (id, text, names); `mask` has the positions of names, unless no word of the template would be left.
+
+    The anchor of a window is the longest stretch without names, of ANCHOR_WORDS at most; of several the one with most
+    letters, as short words are common ones.
+    """
     for i in range(len(batch)):
         names = frozenset(batch["names"].iloc[i])
-        texts = _Texts(batch.iloc[i : i + 1], templates)
-        if not len(texts.sizes):
-            continue
-        n = min(window, int(texts.sizes[0]))
-        at = texts.inside(np.arange(len(texts.words) - n + 1), n)
-        isname = np.array([w in names for w in texts.words]) & ~texts.typed
-        masks = [sum(1 << k for k in range(n) if isname[a + k]) for a in at]
-        masks = [0 if (isname | texts.typed)[a : a + n].all() else m for a, m in zip(at, masks, strict=True)]
-        made = {m: (t, s) for m, t, s in texts.templates(n, sorted(set(masks)))}
-        plain, plain_2 = texts.plain(n)
-        rows = [(texts.ids[texts.owner[a]], n, m, *(int(x.view(np.int64)) for x in (made[m][0][a], made[m][1][a])), texts.slots(a, n, m), int(plain[a].view(np.int64)), int(plain_2[a].view(np.int64))) for a, m in zip(at, masks, strict=True)]
-        yield pd.DataFrame(rows, columns=["id", "len", "mask", "template", "filled", "slots", "plain", "plain_2"])
+        for words in word_blocks(batch["text"].iloc[i]):
+            n, texts = min(window, len(words)), _Texts([(int(batch["id"].iloc[i]), words)], templates)
+            isname = np.array([w in names for w in words]) & ~texts.typed
+            weight = np.where(texts.typed, 0, [len(w) for w in words])
+            rows = []
+            for a in range(len(words) - n + 1):
+                free = (isname | texts.typed)[a : a + n].all()
+                named = np.zeros(n, bool) if free else isname[a : a + n]
+                runs = [(k, int(weight[a + o : a + o + k].sum()), -o) for k in range(1, min(ANCHOR_WORDS, n) + 1) for o in range(n - k + 1) if not named[o : o + k].any()]
+                k, _, o = max(runs)
+                rows.append((a, sum(1 << j for j in range(n) if named[j]), k, -o))
+            start, mask, k, offset = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+            template, filled = texts.windows(start, n, mask)
+            anchor = [int(_hashed(texts.template[None, s : s + m])[0].astype(np.uint64).view(np.int64)) for s, m in zip(start + offset, k, strict=True)]
+            slots = [texts.slots(a, n, m) for a, m in zip(start.tolist(), mask.tolist(), strict=True)]
+            yield pd.DataFrame({"id": texts.ids[0], "len": n, "mask": mask, "template": template.view(np.int64), "filled": filled.view(np.int64), "slots": slots, "k": k, "anchor": anchor, "offset": offset})
 
 
 def item_names(items: DataFrame, text: str) -> DataFrame:
@@ -177,21 +210,20 @@ class LeakSearch:
     """Items against documents through windows of typed templates.
 
     Both texts become templates: numbers and units turn into typed placeholders, and so do the names of items, wherever they
-    stand; there any word of a document may stand but a number, a unit or a word that items use otherwise than as a name, so
-    names need not be known on its side. A hash join
-    on 12-word template windows (all words of an item with fewer), one pass for each pattern of name positions, finds
-    candidates; what filled the slots then decides: other words that replace each other one to one throughout the window
-    mean a re-parameterised question. Verbatim passages are found by the words themselves.
-
-    The distinct hashes of item windows are broadcast to the scan of the documents up to a checked count, so that only
-    windows which meet one leave it; beyond that count all windows go into the join. Names are found and matched by joins,
-    however many there are. Whole texts are searched, long ones in overlapping blocks. Null or empty texts, items without
-    words, repeated rows and other columns are harmless; rows with null ids are left out.
+    stand; there any word of a document may stand but a number or a unit, so names need not be known on its side. A hash
+    join on 12-word template windows (all words of an item with fewer) finds candidates; what filled the slots then decides:
+    the same words everywhere make a verbatim passage; other words that replace each other one to one throughout the window,
+    none of them one that items use otherwise than as a name, a re-parameterised question.
+
+    The distinct item windows are broadcast to the scan of the documents up to a checked count, so that only windows which
+    meet one leave it; there they are looked up by an anchor, a few words of the template without names. Beyond that count
+    all windows go into the join. Names are found and matched by joins, however many there are. Whole texts are searched,
+    long ones in overlapping blocks. Null or empty texts, items without words, repeated rows and other columns are harmless;
+    rows with null ids are left out.
     """
 
     def __init__(self, items: DataFrame, item_id: str, text: str, window: int = WINDOW, most: int = MAX_BROADCAST_WINDOWS):
-        spark = items.sparkSession
-        runtime.ship_package(spark)
+        runtime.ship_package(items.sparkSession)
         self.most = most
 
         def of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,69 +238,71 @@ class LeakSearch:
         named = words.join(names, "word").groupBy("id", "text").agg(F.collect_list("word").alias("names"))
         rows = rows.join(named, ["id", "text"], "left").select("id", "text", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
         self.items = runtime.materialise(rows.mapInPandas(of_items, _ITEM_WINDOWS).distinct())
-        self.lengths = sorted(r[0] for r in self.items.select("len").distinct().collect())  # at most `window` numbers
 
-    def _wanted(self, *columns: str) -> pd.DataFrame | None:
-        rows = self.items.select(*columns).distinct()
-        return None if rows.count() > self.most else rows.toPandas()
+    def _doc_windows(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+        """Windows of documents that have the template of an item's window, or all of them where there are too many of those."""
+        rows = self.items.select("k", "anchor", "offset", "len", "mask", "template").distinct()
+        wanted = None if rows.count() > self.most else rows.toPandas()
+        masks: dict[int, list[int]] = {}
+        for r in self.items.select("len", "mask").distinct().collect():  # at most 2^len a length, far fewer in texts
+            masks.setdefault(r["len"], []).append(r["mask"])
+        shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+        def all_windows(texts: _Texts) -> Iterator[pd.DataFrame]:
+            for n, patterns in masks.items():
+                for m in patterns:
+                    start = np.arange(len(texts.words))
+                    yield texts.found(start, n, np.full(len(start), m, np.int64), None)
 
-    def _doc_windows(self, docs: DataFrame, doc_id: str, text: str, of_texts, schema: str) -> DataFrame:
         def of_docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             templates = Templates()
+            anchors = None if shared.value is None else {int(k): _Anchors(g) for k, g in shared.value.groupby("k")}
+
+            def search(blocks: list[tuple[int, list[str]]]) -> Iterator[pd.DataFrame]:
+                texts = _Texts(blocks, templates)
+                if anchors is None:
+                    yield from all_windows(texts)
+                    return
+                for k, known in anchors.items():
+                    for start, size, mask, template in known.candidates(_rolling(texts.template, k)):
+                        for n in np.unique(size).tolist():
+                            at = size == n
+                            yield texts.found(start[at], n, mask[at], template[at])
+
+            blocks, held = [], 0
             for batch in batches:
-                yield from of_texts(_Texts(batch, templates))
+                for i, t in zip(batch["id"], batch["text"], strict=True):
+                    for words in word_blocks(t):
+                        blocks.append((i, words))
+                        held += len(words)
+                        if held >= BLOCK_WORDS:
+                            yield from search(blocks)
+                            blocks, held = [], 0
+            if blocks:
+                yield from search(blocks)
 
         rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-        return rows.mapInPandas(of_docs, schema)
+        return rows.mapInPandas(of_docs, _DOC_WINDOWS).dropDuplicates(["doc_id", "len", "mask", "template", "filled"])
 
-    def verbatim(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-        """(doc_id, item_id): documents with a passage of the item."""
-        rows, lengths = self._wanted("len", "plain", "plain_2"), self.lengths
-        unsigned = lambda c: c.to_numpy(np.int64).view(np.uint64)
-        wanted = None if rows is None else {int(n): _both(unsigned(g["plain"]), unsigned(g["plain_2"])) for n, g in rows.groupby("len")}
-        shared = docs.sparkSession.sparkContext.broadcast(wanted)
-        tables: dict[int, _Wanted] = {}
-
-        def windows(texts: _Texts) -> Iterator[pd.DataFrame]:
-            for n in lengths:
-                if len(texts.words) >= n:
-                    first, second = texts.plain(n)
-                    if shared.value is not None and n not in tables:
-                        tables[n] = _Wanted(shared.value[n])
-                    at = texts.inside(np.arange(len(first)) if shared.value is None else tables[n].places(_both(first, second)), n)
-                    yield pd.DataFrame({"doc_id": texts.ids[texts.owner[at]], "len": n, "plain": first[at].view(np.int64), "plain_2": second[at].view(np.int64)})
+    def passages(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+        """(doc_id, item_id, verbatim, reparameterised): how many distinct passages of a document stand in an item word by
+        word, and how many with other names, numbers or units; documents and items without either give no row."""
+        key = ["doc_id", "len", "mask", "template", "filled"]
+        mine = self.items.select("len", "mask", "template", F.col("filled").alias("item_filled"), F.col("slots").alias("item_slots"), F.col("id").alias("item_id"))
+        both = runtime.materialise(self._doc_windows(docs, doc_id, text).join(mine, ["len", "mask", "template"]))
+        same = F.col("filled") == F.col("item_filled")
+        kinds = lambda c: F.size(F.array_distinct(c))
+        pairs = kinds(F.arrays_zip("slots", "item_slots"))
+        other = both.where(~same & (pairs == kinds("slots")) & (pairs == kinds("item_slots")))
+        names = other.select(*key, F.explode(F.expr("filter(slots, (w, i) -> (shiftright(mask, i) & 1) = 1)")).alias("word"))
+        other = other.join(names.join(self.common, "word").select(*key).distinct(), key, "left_anti")
+        rows = both.where(same).select("doc_id", "item_id", F.lit(True).alias("same"), *key[1:]).unionByName(other.select("doc_id", "item_id", F.lit(False).alias("same"), *key[1:]))
+        return rows.distinct().groupBy("doc_id", "item_id").agg(F.count_if("same").alias("verbatim"), F.count_if(~F.col("same")).alias("reparameterised"))
 
-        mine = self.items.select("len", "plain", "plain_2", F.col("id").alias("item_id")).distinct()
-        d = self._doc_windows(docs, doc_id, text, windows, _PLAIN).distinct()
-        return d.join(mine, ["len", "plain", "plain_2"]).select("doc_id", "item_id").distinct()
+    def verbatim(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+        """(doc_id, item_id): documents with a passage of the item, word by word."""
+        return self.passages(docs, doc_id, text).where(F.col("verbatim") > 0).select("doc_id", "item_id")
 
     def reparameterised(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         """(doc_id, item_id, n_windows): distinct passages of an item's template whose slots hold other words, consistently."""
-        rows = self._wanted("len", "mask", "template")
-        patterns: dict[int, list[int]] = {}
-        for r in self.items.select("len", "mask").distinct().collect():  # at most 2^len a length, far fewer in texts
-            patterns.setdefault(r["len"], []).append(r["mask"])
-        wanted = None if rows is None else {(int(n), int(m)): g["template"].to_numpy(np.int64).view(np.uint64) for (n, m), g in rows.groupby(["len", "mask"])}
-        shared = docs.sparkSession.sparkContext.broadcast(wanted)
-        tables: dict[tuple[int, int], _Wanted] = {}
-
-        def windows(texts: _Texts) -> Iterator[pd.DataFrame]:
-            for n, masks in patterns.items():
-                if len(texts.words) < n:
-                    continue
-                for m, t, s in texts.templates(n, masks):
-                    if shared.value is not None and (n, m) not in tables:
-                        tables[n, m] = _Wanted(shared.value[n, m])
-                    at = texts.inside(np.arange(len(t)) if shared.value is None else tables[n, m].places(t), n)
-                    slots = pd.Series([texts.slots(a, n, m) for a in at], dtype=object)
-                    yield pd.DataFrame({"doc_id": texts.ids[texts.owner[at]], "len": n, "mask": m, "template": t[at].view(np.int64), "filled": s[at].view(np.int64), "slots": slots})
-
-        mine = self.items.select("len", "mask", "template", F.col("filled").alias("item_filled"), F.col("slots").alias("item_slots"), F.col("id").alias("item_id"))
-        d = self._doc_windows(docs, doc_id, text, windows, _TEMPLATES).dropDuplicates(["doc_id", "len", "mask", "template", "filled"])
-        d, key = runtime.materialise(d), ["doc_id", "len", "mask", "template", "filled"]
-        names = d.select(*key, F.explode(F.expr("filter(slots, (w, i) -> (shiftright(mask, i) & 1) = 1)")).alias("word"))
-        d = d.join(names.join(self.common, "word").select(*key).distinct(), key, "left_anti")
-        both = d.join(mine, ["len", "mask", "template"]).where(F.col("filled") != F.col("item_filled"))
-        kinds = lambda c: F.size(F.array_distinct(c))
-        pairs = kinds(F.arrays_zip("slots", "item_slots"))
-        return both.where((pairs == kinds("slots")) & (pairs == kinds("item_slots"))).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+        return self.passages(docs, doc_id, text).where(F.col("reparameterised") > 0).select("doc_id", "item_id", F.col("reparameterised").alias("n_windows"))
