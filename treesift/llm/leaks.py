@@ -185,17 +185,20 @@ def _item_windows(batch: pd.DataFrame, templates: Templates, window: int) -> Ite
         for words in word_blocks(batch["text"].iloc[i]):
             n, texts = min(window, len(words)), _Texts([(int(batch["id"].iloc[i]), words)], templates)
             isname = np.array([w in names for w in words]) & ~texts.typed
-            weight = np.where(texts.typed, 0, [len(w) for w in words])
-            rows = []
-            for a in range(len(words) - n + 1):
-                free = (isname | texts.typed)[a : a + n].all()
-                named = np.zeros(n, bool) if free else isname[a : a + n]
-                runs = [(k, int(weight[a + o : a + o + k].sum()), -o) for k in range(1, min(ANCHOR_WORDS, n) + 1) for o in range(n - k + 1) if not named[o : o + k].any()]
-                k, _, o = max(runs)
-                rows.append((a, sum(1 << j for j in range(n) if named[j]), k, -o))
-            start, mask, k, offset = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+            at = np.arange(len(words) - n + 1)[:, None] + np.arange(n)
+            named = isname[at] & ~(isname | texts.typed)[at].all(axis=1, keepdims=True)
+            start, mask = at[:, 0], (named << np.arange(n)).sum(axis=1)
+            weight = np.where(texts.typed, 0, [len(w) for w in words])[at]
+            best, k, offset = np.full(len(at), -1), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            for m in range(1, min(ANCHOR_WORDS, n) + 1):
+                for o in range(n - m + 1):
+                    score = np.where(named[:, o : o + m].any(axis=1), -1, weight[:, o : o + m].sum(axis=1) + 1_000_000 * m)
+                    better = score > best
+                    best, k, offset = np.where(better, score, best), np.where(better, m, k), np.where(better, o, offset)
             template, filled = texts.windows(start, n, mask)
-            anchor = [int(_hashed(texts.template[None, s : s + m])[0].astype(np.uint64).view(np.int64)) for s, m in zip(start + offset, k, strict=True)]
+            anchor = np.zeros(len(at), np.int64)
+            for m in np.unique(k).tolist():
+                anchor[k == m] = _rolling(texts.template, m)[(start + offset)[k == m]].view(np.int64)
             slots = [texts.slots(a, n, m) for a, m in zip(start.tolist(), mask.tolist(), strict=True)]
             yield pd.DataFrame({"id": texts.ids[0], "len": n, "mask": mask, "template": template.view(np.int64), "filled": filled.view(np.int64), "slots": slots, "k": k, "anchor": anchor, "offset": offset})
 
