@@ -100,4 +100,23 @@ iw AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS k FRO
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 dw AS (SELECT DISTINCT doc_id, n, array_to_string(w[s:s + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n))
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (n, k)""",
+    "p7_reparameterised": r"""WITH it AS (SELECT DISTINCT item_id, text FROM eval_item WHERE item_id IS NOT NULL AND text IS NOT NULL),
+nm AS (SELECT DISTINCT lower(regexp_extract(b, '^\p{Lu}\p{Ll}+')) AS w FROM (SELECT unnest(list_zip(t, t[2:])) AS z FROM (SELECT string_split(text, ' ') AS t FROM it)) x(z), LATERAL (SELECT z[1] AS a, z[2] AS b) WHERE regexp_matches(a, '[\p{Ll},]$') AND regexp_matches(b, '^\p{Lu}\p{Ll}+')),
+ii AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM it),
+ww AS (SELECT DISTINCT unnest(w) AS w FROM ii),
+cm AS (SELECT list(w) AS common FROM ww ANTI JOIN nm USING (w)),
+nl AS (SELECT list(w) AS names FROM nm),
+di AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+ik AS (SELECT item_id, w, list_transform(w, lambda x: KIND) AS k, least(12, len(w)) AS n FROM ii WHERE len(w) > 0),
+i0 AS (SELECT item_id, n, w[s:s + n - 1] AS w, k[s:s + n - 1] AS k FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM ik)),
+i1 AS (SELECT item_id, n, w, k, list_transform(range(1, n + 1), lambda j: w[j] = k[j] AND list_contains(names, w[j])) AS m FROM i0, nl),
+i2 AS (SELECT item_id, n, w, k, CASE WHEN list_bool_and(list_transform(range(1, n + 1), lambda j: m[j] OR w[j] <> k[j])) THEN list_transform(m, lambda x: FALSE) ELSE m END AS m FROM i1),
+i3 AS (SELECT DISTINCT item_id, n, m, list_transform(range(1, n + 1), lambda j: CASE WHEN m[j] THEN '<name>' ELSE k[j] END) AS t, list_transform(range(1, n + 1), lambda j: CASE WHEN m[j] OR w[j] <> k[j] THEN w[j] ELSE '' END) AS f FROM i2),
+dk AS (SELECT doc_id, w, list_transform(w, lambda x: KIND) AS k FROM di),
+d1 AS (SELECT DISTINCT doc_id, n, w[s:s + n - 1] AS w, k[s:s + n - 1] AS k FROM (SELECT doc_id, w, k, n, unnest(range(1, len(w) - n + 2)) AS s FROM dk, (SELECT DISTINCT n FROM i3) WHERE len(w) >= n)),
+d2 AS (SELECT DISTINCT doc_id, n, m, list_transform(range(1, n + 1), lambda j: CASE WHEN m[j] AND w[j] = k[j] THEN '<name>' ELSE k[j] END) AS t, list_transform(range(1, n + 1), lambda j: CASE WHEN m[j] OR w[j] <> k[j] THEN w[j] ELSE '' END) AS f
+  FROM d1 JOIN (SELECT DISTINCT n, m FROM i3) USING (n)),
+b AS (SELECT DISTINCT doc_id, item_id, n, m, t, d2.f AS f FROM d2 JOIN i3 USING (n, m, t), cm WHERE d2.f <> i3.f AND list_unique(list_zip(d2.f, i3.f)) = list_unique(d2.f) AND list_unique(list_zip(d2.f, i3.f)) = list_unique(i3.f)
+  AND NOT list_has_any(common, list_filter(d2.f, lambda x, j: m[j])))
+SELECT doc_id, item_id, count(*) AS n_windows FROM b GROUP BY ALL""".replace("KIND", f"CASE WHEN regexp_full_match(x, '\\p{{N}}+') THEN '<number>' WHEN x IN {tuple(leaks.UNITS)} THEN '<unit>' ELSE x END"),
 }
