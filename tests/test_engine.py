@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from treesift import schema as S
 from treesift.functions import fold, highlight
 from treesift.functions import text as X
-from treesift.operators import content, journal, usage, view
+from treesift.operators import content, journal, live, usage, view
 from treesift.operators import volume as V
 from treesift.plans import conditions
 from treesift.sources import sinks, snapshot
 from treesift.sources.volumes import MemoryVolume
+from treesift.streaming import journal as streaming
 from treesift.streaming.journal import Watched
 
 D, L = S.A_DIRECTORY, S.A_REPARSE
@@ -282,3 +283,70 @@ def test_paths_sink(spark, sample, tmp_path):
     hits, q = V.search(sample, "readme")
     sinks.write_paths(V.top_ranked(hits, q, 10), str(tmp_path / "out"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["C:\\readme.txt", "C:\\Windows\\README.MD"]
+
+
+def test_dead_folders_keep_their_place(spark):
+    m = MemoryVolume(spark, [(1, 10, 5, "dir", D), (2, 11, 10, "f", 0), (3, 12, 10, "g", 0), (4, 12, 5, "link to g", 0)], [(11, 4, False)], [])
+    w = Watched.build(m)
+    root = w.volume.root_id
+    m.events = [ev(1, 10, 5, 0x200), ev(2, 12, 5, 0x2000, "moved"), ev(3, 20, 10, 0x100, "late"), ev(4, 10, 5, 0x100, "again", D), ev(5, 21, 10, 0x100, "inside")]
+    assert w.sync() is None and w.volume.root_id == root
+    got = {r["id"]: (r["path"], r["is_dead"], r["is_orphan"], r["sized"]) for r in w.volume.entries.where(F.col("id") != root).collect()}
+    assert got == {
+        1: ("C:\\dir", True, False, False), 2: ("C:\\dir\\f", False, False, True), 3: ("C:\\dir\\g", False, False, False), 4: ("C:\\moved", False, False, False),
+        root + 1: ("<orphan>\\late", False, True, False), root + 2: ("C:\\again", False, False, False), root + 3: ("C:\\again\\inside", False, False, False),
+    }
+    assert V.tombstone_ratio(w.volume).first()[0] > 0
+    before = sorted(tuple(r) for r in w.volume.entries.collect())
+    w.cursor = 0
+    again = live.apply_events(w.volume, m.journal(), 5)
+    assert sorted(tuple(r) for r in again.entries.where("not is_dead").select("path").collect()) == sorted((r[17],) for r in before if not r[10])
+
+
+def test_many_dead_names_are_compacted(spark):
+    m = MemoryVolume(spark, [(i, 10 + i, 5, f"name {i}", 0) for i in range(10)], [], [])
+    w = Watched.build(m)
+    m.events = [ev(i, 10 + i, 5, 0x200) for i in range(6)]
+    m.record_rows = m.record_rows[6:]
+    assert w.run(2, seconds=0) == ["many names are dead", "synced"] and w.volume.entries.count() == 5
+
+
+def test_files_are_measured_as_they_change(spark, monkeypatch):
+    monkeypatch.setattr(journal, "MEASURED_AT_ONCE", 2)
+    monkeypatch.setattr(journal.next_to_measure, "__defaults__", (2,))
+    m = MemoryVolume(spark, [(i, 10 + i, 5, f"f{i}", 0) for i in range(4)], [(10, 1, False)], [])
+    w = Watched.build(m)
+    m.live_rows = [(10, 7, False), (11, 1 << 40, False), (12, 3, False)]
+    m.events = [ev(1, 10, 5, 0x2), ev(2, 11, 5, 0x2), ev(3, 12, 5, 0x2), ev(4, 13, 5, 0x2)]
+    assert w.sync() is None and w.backlog.count() == 2
+    sizes = lambda: {r["frn"]: (r["clusters"], r["size_truncated"], r["sized"]) for r in w.volume.live.collect()}
+    assert sizes()[10] == (7, False, True) and sizes()[11] == (S.MAX_CLUSTERS, True, True) and sizes()[12] == (0, False, False)
+    assert w.sync() is None and w.backlog.count() == 0 and sizes()[12] == (3, False, True) and sizes()[13] == (0, False, False)
+
+
+def test_resume_from_a_snapshot(spark, tmp_path):
+    m = MemoryVolume(spark, [(1, 10, 5, "dir", D), (2, 11, 10, "f", 0)], [], [])
+    w = Watched.build(m)
+    w.save(str(tmp_path))
+    w.save(str(tmp_path))
+    assert len(list(tmp_path.glob("manifest-*.json"))) == 2
+    m.drive, m.size_rows, m.events = "E", [(11, 9, False)], [ev(1, 12, 10, 0x100, "new")]
+    back = Watched.resume(m, str(tmp_path))
+    assert back.sync() is None and {r["path"]: r["clusters"] for r in back.volume.live.collect()} == {"E:\\dir": 0, "E:\\dir\\f": 9, "E:\\dir\\new": 0}
+    assert V.resolve_path(back.volume, "e:/dir").count() == 1 and back.cursor == 2
+    m.record_rows, m.journal_id = [(7, 11, 5, "other", 0)], 2
+    assert [r["path"] for r in Watched.resume(m, str(tmp_path)).volume.live.collect()] == ["E:\\other"]
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path, rows, monkeypatch):
+    monkeypatch.setattr(streaming, "COMPACT_AFTER", 3)
+    events = tmp_path / "events"
+    put = lambda n, data: spark.createDataFrame(data, S.JOURNAL).selectExpr("*", "CAST(NULL AS timestamp) AS ts", "CAST(NULL AS timestamp) AS read_at").coalesce(1).write.mode("append").parquet(str(events))
+    want = {}
+    for n in range(8):
+        put(n, [ev(n * 10, n % 5, 5, 0x100), ev(n * 10 + 1, 100 + n, 5, 0x200)])
+        want[n % 5], want[100 + n] = (n % 5, n * 10, False, 5), (100 + n, n * 10 + 1, True, 5)
+        table = streaming.stream_state(spark, str(events), str(tmp_path / "state"))
+        assert rows(table.read()) == sorted(want.values())
+    assert table.version == 7 and len(list((tmp_path / "state" / "table").glob("base-*"))) <= 2
+    assert rows(streaming.StateTable(spark, table.folder).read()) == sorted(want.values())

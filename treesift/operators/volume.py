@@ -17,6 +17,7 @@ from ..plans.syntax import Query
 from . import hierarchy
 
 ENTRIES = "id frn parent_id name name_fold ext name_chars is_dir is_reparse is_orphan is_dead at_root sized size_truncated clusters size_bytes depth path path_fold".split()
+SLOTS = "id frn parent_id name attributes is_dead sized clusters truncated".split()
 
 
 @dataclass
@@ -65,13 +66,13 @@ def canonical_ids(records: DataFrame) -> DataFrame:
     return records.groupBy("frn").agg(F.max("ord").alias("id"))
 
 
-def build_entries(records: DataFrame, sizes: DataFrame, drive: str, cluster_bytes: int, root_frn: int = S.ROOT_FRN) -> Volume:
-    """A Volume from `records` (ord, frn, parent_frn, name, attributes) and `sizes` (frn, clusters, truncated).
+def link_records(records: DataFrame, sizes: DataFrame, root_frn: int = S.ROOT_FRN) -> tuple[DataFrame, int]:
+    """(slots, id of the root) of enumerated `records` (ord, frn, parent_frn, name, attributes) and `sizes` (frn, clusters,
+    truncated); slots have the columns SLOTS, parents being ids.
 
-    ord is the id. A record read twice counts once. A parent that is missing, or the record itself, makes an orphan, as does
-    a chain that doesn't reach the root. A size goes to the record that stands for its frn; saturated sizes keep their flag;
-    unmeasured files have 0. A root that has no record gets the id after the greatest. Rows without ord or frn are left out;
-    null names are empty.
+    ord is the id. A record read twice counts once. A parent that is missing, or the record itself, is null. A size goes to the
+    record that stands for its frn. A root that has no record gets the id after the greatest. Rows without ord or frn are
+    left out; null names are empty.
     """
     once = records.where(F.col("ord").isNotNull() & F.col("frn").isNotNull()).groupBy("ord").agg(F.max(F.struct("frn", "parent_frn", "name", "attributes")).alias("r"))
     rows = runtime.materialise(once.select(F.col("ord").alias("id"), "r.frn", "r.parent_frn", F.coalesce("r.name", F.lit("")).alias("name"), F.coalesce("r.attributes", F.lit(0)).alias("attributes")))
@@ -85,23 +86,39 @@ def build_entries(records: DataFrame, sizes: DataFrame, drive: str, cluster_byte
     at = F.when(F.col("parent_frn") == root_frn, F.lit(root_id)).otherwise(F.col("__parent"))
     linked = rows.join(parents, F.col("parent_frn") == F.col("__frn"), "left").withColumn("parent_id", at)
     linked = linked.withColumn("parent_id", F.when(F.col("parent_id") != F.col("id"), F.col("parent_id"))).join(measured, "id", "left")
-    linked = runtime.materialise(linked.select("id", "frn", "name", "attributes", "parent_id", F.coalesce("sized", F.lit(False)).alias("sized"), F.coalesce("clusters", F.lit(0)).alias("clusters"), F.coalesce("truncated", F.lit(False)).alias("truncated")))
+    filled = [F.coalesce("sized", F.lit(False)).alias("sized"), F.coalesce("clusters", F.lit(0)).cast("long").alias("clusters"), F.coalesce("truncated", F.lit(False)).alias("truncated")]
+    return linked.select("id", "frn", F.col("parent_id").cast("long").alias("parent_id"), "name", "attributes", F.lit(False).alias("is_dead"), *filled), root_id
+
+
+def build_entries(records: DataFrame, sizes: DataFrame, drive: str, cluster_bytes: int, root_frn: int = S.ROOT_FRN) -> Volume:
+    """A Volume from enumerated records and sizes, see link_records and entries_of."""
+    slots, root_id = link_records(records, sizes, root_frn)
+    return entries_of(slots, root_id, drive, cluster_bytes, root_frn)
+
+
+def entries_of(slots: DataFrame, root_id: int, drive: str, cluster_bytes: int, root_frn: int = S.ROOT_FRN) -> Volume:
+    """A Volume of `slots` (columns SLOTS, without the root).
+
+    A null or absent parent makes an orphan, as does a chain that doesn't reach the root; dead slots keep their place, so
+    what lies below them keeps its path. Saturated sizes keep their flag; unmeasured files have 0.
+    """
+    linked = runtime.materialise(slots.select(*SLOTS))
     links = linked.select(F.col("id").alias("node"), F.col("parent_id").alias("parent"), "name")
     root = F.lit(root_id).cast("long")
     forest = runtime.materialise(hierarchy.resolve_forest(links.select("node", "parent"), root))
     paths = hierarchy.materialise_paths(links, forest, root, f"{drive}:").select(F.col("node").alias("id"), "top", "depth", "path")
     full = linked.join(paths, "id").select(
         "id", "frn", "parent_id", "name", F.col("attributes").bitwiseAND(S.A_DIRECTORY).alias("d"), F.col("attributes").bitwiseAND(S.A_REPARSE).alias("l"),
-        (F.col("top") != root).alias("is_orphan"), F.coalesce(F.col("parent_id") == root, F.lit(False)).alias("at_root"), "sized", "truncated", "clusters", "depth",
+        (F.col("top") != root).alias("is_orphan"), "is_dead", F.coalesce(F.col("parent_id") == root, F.lit(False)).alias("at_root"), "sized", "truncated", "clusters", "depth",
         F.coalesce("path", F.concat(F.lit("<orphan>\\"), "name")).alias("path"),
     )
     # The root row takes the schema of the others; its one row costs no shuffle.
-    top = rows.sparkSession.range(1).select(
-        root.alias("id"), F.lit(root_frn).cast("long").alias("frn"), root.alias("parent_id"), F.lit("").alias("name"), F.lit(1).alias("d"), F.lit(0).alias("l"), F.lit(False).alias("is_orphan"), F.lit(False).alias("at_root"),
+    top = slots.sparkSession.range(1).select(
+        root.alias("id"), F.lit(root_frn).cast("long").alias("frn"), root.alias("parent_id"), F.lit("").alias("name"), F.lit(1).alias("d"), F.lit(0).alias("l"), F.lit(False).alias("is_orphan"), F.lit(False).alias("is_dead"), F.lit(False).alias("at_root"),
         F.lit(False).alias("sized"), F.lit(False).alias("truncated"), F.lit(0).cast("long").alias("clusters"), F.lit(-1).alias("depth"), F.lit(f"{drive}:\\").alias("path"),
     )
     full = full.unionByName(top).select(
-        "id", "frn", "parent_id", "name", (F.col("d") != 0).alias("is_dir"), (F.col("l") != 0).alias("is_reparse"), "is_orphan", F.lit(False).alias("is_dead"), "at_root", "sized",
+        "id", "frn", "parent_id", "name", (F.col("d") != 0).alias("is_dir"), (F.col("l") != 0).alias("is_reparse"), "is_orphan", "is_dead", "at_root", "sized",
         F.col("truncated").alias("size_truncated"), F.col("clusters").cast("long").alias("clusters"), (F.col("clusters") * cluster_bytes).cast("long").alias("size_bytes"), "depth", "path",
     )
     full = full.withColumn("name_fold", fold_column(F.col("name"))).withColumn("path_fold", fold_column(F.col("path")))
@@ -109,6 +126,13 @@ def build_entries(records: DataFrame, sizes: DataFrame, drive: str, cluster_byte
     return Volume(runtime.materialise(full.select(*ENTRIES)), drive, cluster_bytes, root_id)
 
 
+def slots_of(volume: Volume) -> DataFrame:
+    """The slots that a volume's entries were made of."""
+    bit = lambda c, mask: F.when(F.col(c), F.lit(mask)).otherwise(F.lit(0))
+    attributes = bit("is_dir", S.A_DIRECTORY).bitwiseOR(bit("is_reparse", S.A_REPARSE)).alias("attributes")
+    return volume.entries.where(F.col("id") != volume.root_id).select("id", "frn", "parent_id", "name", attributes, "is_dead", "sized", "clusters", F.col("size_truncated").alias("truncated"))
+
+
 def empty_volume(spark: SparkSession, drive: str, cluster_bytes: int = 4096) -> Volume:
     """Only the root: what is served while a volume is being built."""
     none = spark.createDataFrame([], S.RECORDS), spark.createDataFrame([], S.SIZES)

@@ -11,39 +11,78 @@ from pyspark.sql import functions as F
 
 from .. import runtime
 from ..operators import journal as J
+from ..operators import live
 from ..operators import volume as V
-from ..operators.changes import journal_state
-from ..operators.volume import Volume, build_entries
+from ..operators.changes import fold_changes, journal_state
+from ..operators.volume import Volume
 from ..sources import snapshot
 from ..sources.volumes import VolumeSource
 
 EVENTS = "usn long, frn long, parent_frn long, reason long, name string, attributes int, ts timestamp, read_at timestamp"
 STATE = "frn long, usn long, deleted boolean, parent_frn long"
+#: Batches after which the state of a stream is written whole.
+COMPACT_AFTER = 16
 #: Share of dead names from which a volume is built anew.
 COMPACT_ABOVE = 0.3
 
 
 @dataclass
 class StateTable:
-    """Versions of a state below one folder; the newest complete one counts."""
+    """The state of a change feed below one folder: a base and the folded batches since.
+
+    The fold is commutative and idempotent, so the state is the fold of the newest base with all later batches, in any
+    order. A batch costs what it holds; after COMPACT_AFTER of them a new base is written. Only folders that were written to
+    their end count, so a table opened anew goes on where the last one stopped.
+    """
 
     spark: SparkSession
     folder: str
-    version: int = -1
+
+    def _complete(self, kind: str) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        found = [n for n in names if n.startswith(f"{kind}-") and n[len(kind) + 1 :].isdigit()]
+        done = lambda n: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))
+        return sorted(int(n[len(kind) + 1 :]) for n in found if done(n))
+
+    def _versions(self) -> tuple[int, list[int]]:
+        base = max(self._complete("base"), default=-1)
+        return base, [d for d in self._complete("delta") if d > base]
+
+    @property
+    def version(self) -> int:
+        """The newest batch that the state holds, -1 for none."""
+        base, deltas = self._versions()
+        return max([base, *deltas])
 
     def read(self) -> DataFrame:
-        return self.spark.createDataFrame([], STATE) if self.version < 0 else self.spark.read.schema(STATE).parquet(f"{self.folder}/state-{self.version}")
+        base, deltas = self._versions()
+        paths = [f"{self.folder}/base-{base}"] * (base >= 0) + [f"{self.folder}/delta-{d}" for d in deltas]
+        if not paths:
+            return self.spark.createDataFrame([], STATE)
+        rows = self.spark.read.schema(STATE).parquet(*paths)
+        return rows if not deltas else fold_changes(rows, "frn", "usn", "deleted", ["parent_frn"])
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        """Fold a batch into the state and write the next version. The fold is commutative and idempotent, so a batch that
-        runs again, late events and repeats change nothing."""
-        if batch_id <= self.version:
+        """Take a batch in; one that runs again, late events and repeats change nothing."""
+        base, deltas = self._versions()
+        if batch_id <= base or batch_id in deltas:
             return
-        state = journal_state(batch.select("usn", "frn", "parent_frn", "reason"), self.read())
-        state.write.mode("overwrite").parquet(f"{self.folder}/state-{batch_id}")
-        old, self.version = self.version, batch_id
-        if old > 0:
-            runtime.discard(self.spark, f"{self.folder}/state-{old - 1}")
+        journal_state(batch.select("usn", "frn", "parent_frn", "reason")).select("frn", "usn", "deleted", "parent_frn").write.mode("overwrite").parquet(f"{self.folder}/delta-{batch_id}")
+        if len(deltas) + 1 >= COMPACT_AFTER:
+            self.compact()
+
+    def compact(self) -> None:
+        """Write a new base; what the base before it had replaced is deleted, so readers of that one are not cut off."""
+        base, deltas = self._versions()
+        if not deltas:
+            return
+        self.read().write.mode("overwrite").parquet(f"{self.folder}/base-{deltas[-1]}")
+        for kind in ("base", "delta"):
+            for old in self._complete(kind):
+                if old < base or kind == "delta" and old <= base:
+                    runtime.discard(self.spark, f"{self.folder}/{kind}-{old}")
 
 
 def stream_state(spark: SparkSession, events_path: str, folder: str | None = None, max_files: int = 8) -> StateTable:
@@ -67,38 +106,59 @@ def stream_state(spark: SparkSession, events_path: str, folder: str | None = Non
 
 @dataclass
 class Watched:
-    """A volume that follows its journal: a cursor, the feed so far, and what to do when the journal breaks off."""
+    """A volume that follows its journal: a cursor, files that wait to be measured, and what to do when the journal breaks off."""
 
     source: VolumeSource
     volume: Volume
     cursor: int
     journal_id: int
-    base: DataFrame
+    backlog: DataFrame | None = None
 
     @classmethod
     def build(cls, source: VolumeSource) -> Watched:
         """Enumerate; the cursor is taken before, so that changes made meanwhile are applied afterwards."""
         cursor, journal_id = source.next_usn(), source.journal_id
-        records = runtime.materialise(source.records())
-        return cls(source, build_entries(records, source.sizes(), source.drive, source.cluster_bytes, source.root_frn), cursor, journal_id, records)
+        return cls(source, V.build_entries(source.records(), source.sizes(), source.drive, source.cluster_bytes, source.root_frn), cursor, journal_id)
+
+    @classmethod
+    def resume(cls, source: VolumeSource, folder: str) -> Watched:
+        """Go on from a snapshot, under the drive letter of now, if the journal still holds everything since; else enumerate. A
+        snapshot in which more than half of the files lack a size reads all sizes again."""
+        loaded = snapshot.load(source.records().sparkSession, folder, source.drive)
+        if not snapshot.resumable(loaded, source.journal_id, source.first_usn()):
+            return cls.build(source)
+        volume = loaded.volume
+        files = volume.live.where(~F.col("is_dir"))
+        missing, n = files.agg(F.count_if(~F.col("sized")), F.count(F.lit(1))).first()
+        if missing * 2 > n:
+            volume = live.record_measured(volume, source.sizes(), source.root_frn)
+        return cls(source, volume, loaded.next_usn, loaded.journal_id)
 
     def sync(self) -> str | None:
-        """Apply all events from the cursor on, or say why that can't be done, with nothing applied."""
+        """Apply all events from the cursor on and measure what has waited longest, or say why that can't be done, with
+        nothing applied."""
         why = J.discontinuity(self.cursor, self.journal_id, self.source.journal_id, self.source.first_usn())
         if why:
             return why
-        feed = self.source.journal(self.cursor)
-        if feed.limit(1).count():
-            ahead = self.source.next_usn()
-            self.base = runtime.materialise(apply_to_records(self.base, feed))
-            self.volume = build_entries(self.base, self.source.sizes(), self.source.drive, self.source.cluster_bytes, self.source.root_frn)
-            self.cursor = ahead
+        ahead = self.source.next_usn()
+        if ahead > self.cursor:
+            feed = self.source.journal(self.cursor).where(F.col("usn") < ahead)
+            self.volume = live.apply_events(self.volume, feed, self.source.root_frn)
+            waiting = J.size_backlog(feed)
+            if self.backlog is not None:
+                waiting = waiting.unionByName(self.backlog).groupBy("frn").agg(F.min("first_usn").alias("first_usn"))
+            self.backlog, self.cursor = runtime.materialise(waiting), ahead
+        if self.backlog is not None and self.backlog.limit(1).count():
+            turn = runtime.materialise(J.next_to_measure(self.backlog))
+            measured = self.source.live_sizes().join(turn.select("frn"), "frn", "left_semi")
+            self.volume = live.record_measured(self.volume, measured, self.source.root_frn)
+            self.backlog = runtime.materialise(self.backlog.join(turn.select("frn"), "frn", "left_anti"))
         return None
 
     def recover(self) -> None:
         """Build anew beside the old volume, then take its place."""
         fresh = Watched.build(self.source)
-        self.volume, self.cursor, self.journal_id, self.base = fresh.volume, fresh.cursor, fresh.journal_id, fresh.base
+        self.volume, self.cursor, self.journal_id, self.backlog = fresh.volume, fresh.cursor, fresh.journal_id, None
 
     def save(self, folder: str) -> None:
         snapshot.save(folder, self.volume, self.journal_id, self.cursor)
@@ -120,34 +180,3 @@ class Watched:
             if i < polls - 1:
                 time.sleep(seconds)
         return told
-
-
-def apply_to_records(records: DataFrame, feed: DataFrame) -> DataFrame:
-    """`records` after the events of `feed`: renames keep their ord, deletes drop the row, creates get ords after the
-    greatest, in order of usn. Attributes come from the last event."""
-    events = J.once_per_usn(feed)
-    last = J.journal_changes(events).groupBy("frn").agg(F.max(F.struct("usn", "deleted", "parent_frn", "name", "attributes")).alias("e"))
-    known = records.groupBy("frn").agg(F.max("ord").alias("ord"))
-    most = records.agg(F.max("ord")).first()[0]
-    most = -1 if most is None else most
-    first = J.lifetimes(records, events).where(F.col("died").isNull()).select("frn", "born")
-    both = last.join(known, "frn", "left").join(first, "frn", "left")
-    kept = both.where(~F.col("e.deleted"))
-    again = F.col("ord").isNotNull() & (F.col("born") < 0)
-    fresh = kept.where(~again).select(F.col("born").alias("at"), "frn", "e.parent_frn", "e.name", "e.attributes")
-    ordered = _number(fresh, most + 1)
-    renamed = kept.where(again).select("ord", "frn", "e.parent_frn", "e.name", "e.attributes")
-    rest = records.join(last.select("frn", F.col("e.usn").alias("__u")), "frn", "left").join(known.withColumnRenamed("ord", "__last"), "frn", "left")
-    rest = rest.where(F.col("__u").isNull()).select("ord", "frn", "parent_frn", "name", "attributes")
-    return rest.unionByName(renamed).unionByName(ordered)
-
-
-def _number(rows: DataFrame, start: int) -> DataFrame:
-    """Rows numbered by `at`: sorted in ranges, then each range's length is added to the next, so no task sees all rows."""
-    cut = runtime.materialise(rows.repartitionByRange(runtime.slots(rows.sparkSession), "at").withColumn("part", F.spark_partition_id()))
-    from pyspark.sql.window import Window as W
-
-    sums = cut.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    offset = sums.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    numbered = cut.withColumn("i", F.row_number().over(W.partitionBy("part").orderBy("at", "frn"))).join(F.broadcast(offset), "part")
-    return numbered.select((F.lit(start - 1) + F.col("offset") + F.col("i")).cast("long").alias("ord"), "frn", "parent_frn", "name", "attributes")
