@@ -1,6 +1,7 @@
 """Training-data operators against brute force, with nulls, empty and long texts, ties, repeats and empty tables."""
 
 import itertools
+import math
 import random
 import re
 import unicodedata
@@ -206,13 +207,21 @@ def test_mixture_of_nothing(spark):
     assert mixture.draw_mixture(df, targets.limit(0))[0].count() == 0
 
 
-def test_plan_of_a_large_draw():
-    plan, aimed = mixture.plan_draw([("a", 0.7, 2), ("b", 0.3, 1)], {"a": 10**13, "b": 10**13}, None, 256, 1024, 1)
-    drawn = Counter()
-    for _, s, first, n, _ in plan:
-        assert first == drawn[s]
-        drawn[s] += n
-    assert len({p[0] for p in plan}) <= mixture.MAX_SHARDS + 1 and abs(drawn["a"] / aimed - 0.7) < 1e-6
+@pytest.mark.parametrize(("blocks", "shard_blocks"), [(10**6, 1024), (10**10, 10**7)])
+def test_plans_of_any_size_meet_quotas_at_random(spark, blocks, shard_blocks):
+    quotas, aimed = mixture.source_quotas([("a", 0.7, 2), ("b", 0.3, 1), ("c", 0.0, 1)], {"a": blocks * 256, "b": blocks * 256, "c": 99}, blocks * 256, 256)
+    assert aimed == blocks and {q[0]: q[1] for q in quotas} == {"a": blocks * 7 // 10, "b": blocks * 3 // 10, "c": 0}
+    plans = [mixture.plan_draw(spark, quotas, shard_blocks, seed).orderBy("shard").collect() for seed in (1, 2, 1)]
+    for plan in plans:
+        drawn = Counter()
+        for r in plan:
+            assert r["first"] == drawn[r["source"]]
+            drawn[r["source"]] += r["n"]
+        assert drawn == {"a": blocks * 7 // 10, "b": blocks * 3 // 10}
+    counts = [[r["n"] for r in p if r["source"] == "a"] for p in plans]
+    assert counts[0] == counts[2] != counts[1]
+    spread = np.std(counts[0]) / math.sqrt(shard_blocks * 0.7 * 0.3)
+    assert 0.8 < spread < 1.2  # as a multinomial draw has
 
 
 PROSE = "The index is rebuilt when the folder has been renamed, and the old names stay visible until the next scan of the volume has ended. You should check the parent links first, because an empty result does not mean that the table is ready. "

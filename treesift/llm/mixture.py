@@ -8,20 +8,21 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .. import runtime
 
-#: Vocabulary of a public byte-level BPE tokenizer; the file must be readable on every executor.
+#: Vocabulary of a public byte-level BPE tokenizer; the driver hands the file to the executors.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how that tokenizer splits text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Tokens of a block.
 BLOCK_TOKENS = 256
-#: Shards of the output at most; the plan of the draw has one row for each shard and source.
-MAX_SHARDS = 10_000
+#: Shards whose counts are summed together before prefix sums over all shards.
+SHARD_GROUP = 4096
 #: Buckets that the documents of a source fall into for numbering.
 BUCKETS = 1024
 
@@ -38,10 +39,11 @@ def _encoder(path: str):
 def count_tokens(df: DataFrame, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """`df` with `text` replaced by n_tokens; a null text has 0. Strings of special tokens are ordinary text."""
     runtime.ship_package(df.sparkSession)
-    kept = [c for c in df.columns if c != text]
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    kept, name = [c for c in df.columns if c != text], vocabulary.rsplit("/", 1)[-1]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(vocabulary)
+        encoder = _encoder(SparkFiles.get(name))
         for batch in batches:
             sizes = [0 if t is None else len(encoder.encode_ordinary(t)) for t in batch[text]]
             yield batch[kept].assign(n_tokens=np.array(sizes, np.int64))
@@ -96,35 +98,55 @@ def pack_tokens(docs: DataFrame, seed: int) -> DataFrame:
     return rows.join(sums, ["source", "bucket"]).select("source", "doc_id", "n_tokens", (F.col("inner") + F.col("outer")).alias("start"))
 
 
-def plan_draw(targets: list[tuple[str, float, int]], tokens: dict[str, int], total: int | None, block: int, shard_blocks: int, seed: int) -> tuple[list[tuple], int]:
-    """The draw's plan: rows (shard, source, first, n, source_blocks), and the blocks aimed at.
-
-    A source's quota is its share of the total, cut to its blocks times its repeats. Source counts of each shard are drawn
-    from what is left of the quotas (a multinomial draw without replacement), so that the shards are mixed at random and the
-    quotas are met exactly.
-    """
+def source_quotas(targets: list[tuple[str, float, int]], tokens: dict[str, int], total: int | None, block: int) -> tuple[list[tuple[str, int, int]], int]:
+    """[(source, blocks to draw, blocks there)] and the blocks aimed at: a source's quota is its share of the total, cut to its
+    blocks times its repeats."""
     blocks = {s: -(-tokens.get(s, 0) // block) for s, _, _ in targets}
     wanted = total if total is not None else sum(tokens.get(s, 0) for s, share, _ in targets if share > 0)
     aimed = -(-wanted // block)
-    quota = np.array([min(round(max(share, 0.0) * aimed), blocks[s] * max(repeats, 0)) for s, share, repeats in targets], np.int64)
-    left, first, rows = quota.copy(), np.zeros(len(quota), np.int64), []
-    shard_blocks = max(shard_blocks, -(-int(quota.sum()) // MAX_SHARDS))
-    rng = np.random.default_rng(seed)
-    shard = 0
-    while left.sum() > 0:
-        size = int(min(shard_blocks, left.sum()))
-        got = np.zeros(len(left), np.int64)
-        rest, pool = size, int(left.sum())
-        for i, have in enumerate(left):
-            n = int(rng.hypergeometric(int(have), int(pool - have), rest)) if rest and pool < 1_000_000_000 else min(int(have), round(rest * int(have) / max(pool, 1)))
-            got[i], rest, pool = n, rest - n, pool - int(have)
-        if rest:  # rounding of the large case
-            for i in np.argsort(-(left - got)):
-                n = int(min(rest, left[i] - got[i]))
-                got[i], rest = got[i] + n, rest - n
-        rows += [(shard, s, int(first[i]), int(got[i]), blocks[s]) for i, (s, _, _) in enumerate(targets) if got[i]]
-        first, left, shard = first + got, left - got, shard + 1
-    return rows, aimed
+    return [(s, min(round(max(share, 0.0) * aimed), blocks[s] * max(repeats, 0)), blocks[s]) for s, share, repeats in targets], aimed
+
+
+def shard_counts(quotas: np.ndarray, shards: np.ndarray, of: int, seed: int) -> np.ndarray:
+    """Multinomial counts of blocks per source (columns) of each of `shards` (rows), out of `of` shards of about equal size.
+    A shard's counts depend on the seed and its number only, so any task can draw any shard, at any size."""
+    total = int(quotas.sum())
+    sizes = [total * (int(k) + 1) // of - total * int(k) // of for k in shards]
+    return np.array([np.random.default_rng([seed, int(k)]).multinomial(n, quotas / total) for k, n in zip(shards, sizes, strict=True)]).reshape(len(shards), len(quotas))
+
+
+def plan_draw(spark: SparkSession, quotas: list[tuple[str, int, int]], shard_blocks: int, seed: int) -> DataFrame:
+    """(shard, source, first, n, blocks): the slots that each shard takes from each source, `first` of them being gone before.
+
+    Every task draws the multinomial counts of its shards. What all shards draw of a source is a random number near its
+    quota; running sums over the shards, in groups first, are therefore scaled to end at the quota, so that shares are met
+    and caps hold.
+    """
+    live = [q for q in quotas if q[1] > 0]
+    schema = "shard long, source string, first long, n long, blocks long"
+    if not live:
+        return spark.createDataFrame([], schema)
+    wanted = np.array([q for _, q, _ in live], np.int64)
+    of = max(1, -(-int(wanted.sum()) // shard_blocks))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                shards = batch["id"].to_numpy()[at : at + 1000]
+                counts = shard_counts(wanted, shards, of, seed)
+                row, source = np.nonzero(counts)
+                yield pd.DataFrame({"shard": shards[row], "i": source, "n": counts[row, source]})
+
+    counts = runtime.materialise(spark.range(of).mapInPandas(draw, "shard long, i long, n long").withColumn("part", F.floor(F.col("shard") / SHARD_GROUP)))
+    sums = counts.groupBy("i", "part").agg(F.sum("n").alias("n"))
+    before = W.partitionBy("i").orderBy("part")
+    sums = sums.select("i", "part", (F.sum("n").over(before) - F.col("n")).alias("outer"), F.sum("n").over(W.partitionBy("i")).alias("all"))
+    rows = counts.withColumn("upto", F.sum("n").over(W.partitionBy("i", "part").orderBy("shard"))).join(sums, ["i", "part"])
+    names = spark.createDataFrame([(k, *q) for k, q in enumerate(live)], "i long, source string, quota long, blocks long")  # a row for each target
+    scaled = lambda c: F.expr(f"CAST(CAST({c} AS DECIMAL(38, 0)) * quota DIV `all` AS BIGINT)")
+    rows = rows.join(F.broadcast(names), "i").withColumn("past", F.col("outer") + F.col("upto")).withColumn("prior", F.col("past") - F.col("n"))
+    rows = rows.select("shard", "source", scaled("prior").alias("first"), (scaled("past") - scaled("prior")).alias("n"), "blocks")
+    return rows.where(F.col("n") > 0)
 
 
 def draw_mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = 1024, seed: int = 7, vocabulary: str = VOCABULARY) -> tuple[DataFrame, int]:
@@ -150,13 +172,15 @@ def draw_mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None =
     counted = runtime.materialise(count_tokens(rows, "text", vocabulary))
     packed = pack_tokens(counted, seed)
     tokens = {r["source"]: r["n"] for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # a row for each target
-    plan, aimed = plan_draw(wanted, tokens, total_tokens, block_tokens, shard_blocks, seed)
-    plan_df = spark.createDataFrame(pd.DataFrame(plan, columns=["shard", "source", "first", "n", "blocks"]).astype({"shard": "int64", "source": "object", "first": "int64", "n": "int64", "blocks": "int64"}), "shard long, source string, first long, n long, blocks long")
+    quotas, aimed = source_quotas(wanted, tokens, total_tokens, block_tokens)
+    plan = runtime.materialise(plan_draw(spark, quotas, shard_blocks, seed))
     offset = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("source").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     size = F.sum("n").over(W.partitionBy("shard"))
-    slots = plan_df.withColumn("offset", offset).withColumn("size", size).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    # Rows of the plan move, slots don't: a row has about a shard's blocks at most.
+    sized = plan.withColumn("offset", offset).withColumn("size", size).repartition("shard", "source")
     permuted = F.pandas_udf(_permuted, "long")
-    slots = slots.repartition("shard", "source").withColumn("j", F.col("first") + F.col("i")).withColumn("pass", F.floor(F.col("j") / F.col("blocks")).cast("long"))
+    slots = sized.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    slots = slots.withColumn("j", F.col("first") + F.col("i")).withColumn("pass", F.floor(F.col("j") / F.col("blocks")).cast("long"))
     block = permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.xxhash64("source", "pass", F.lit(seed)))
     slot = permuted(F.col("offset") + F.col("i"), F.col("size"), F.xxhash64("shard", F.lit(seed)))
     slots = slots.select("shard", slot.alias("slot"), "source", "pass", block.alias("block"))

@@ -71,6 +71,19 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mixture_shares(materialise(draw), targets, aimed * mixture.BLOCK_TOKENS)
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per target: whether no document is drawn more than max_repeats times, and whether the tokens drawn are the target's
+    share or, out of reach, all that the cap allows (to a block a pass)."""
+    targets = read_table(spark, d, "mix_target")
+    docs = read_table(spark, d, "documents")
+    draw, aimed = mixture.draw_mixture(docs, targets)
+    held = mixture.count_tokens(docs.where(F.col("source").isNotNull()).select("source", "text"), "text").groupBy("source").agg(F.sum("n_tokens").alias("held"))
+    rows = mixture.mixture_shares(materialise(draw), targets, aimed * mixture.BLOCK_TOKENS).join(held, "source", "left")
+    want = F.least(F.col("target_share") * aimed * mixture.BLOCK_TOKENS, F.coalesce("held", F.lit(0)) * F.col("max_repeats"))
+    near = F.abs(F.col("tokens") - want) <= mixture.BLOCK_TOKENS * (1 + F.col("max_repeats"))
+    return rows.select("source", (F.col("most_repeats") <= F.col("max_repeats")).alias("cap_kept"), near.alias("share_met"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.advertising_pages(read_table(spark, d, "documents"), "doc_id", "text", "lang").select("doc_id")
 
@@ -79,7 +92,7 @@ def p9_measures(spark: SparkSession, d: str) -> DataFrame:
     return pages.advertising_pages(read_table(spark, d, "documents"), "doc_id", "text", "lang")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p3_found, p5_found, p5_canonical, p7_found, p7_reparameterised, p8_draw, p8_shares, p9_found, p9_measures)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p3_found, p5_found, p5_canonical, p7_found, p7_reparameterised, p8_draw, p8_shares, p8_checks, p9_found, p9_measures)}
 
 _RUNS = """WITH e AS (SELECT frn, usn, min(reason & ~2147483648) AS r, min(ts) AS ts FROM usn_event WHERE frn IS NOT NULL AND usn IS NOT NULL GROUP BY frn, usn),
 c AS (SELECT frn, usn, ts, CASE WHEN (r & 7) <> 0 THEN (r & ~7) | 1 ELSE r END AS reason FROM e),
@@ -100,6 +113,7 @@ iw AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS k FRO
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 dw AS (SELECT DISTINCT doc_id, n, array_to_string(w[s:s + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n))
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (n, k)""",
+    "p8_checks": "SELECT source, TRUE AS cap_kept, TRUE AS share_met FROM mix_target",
     "p7_reparameterised": r"""WITH it AS (SELECT DISTINCT item_id, text FROM eval_item WHERE item_id IS NOT NULL AND text IS NOT NULL),
 nm AS (SELECT DISTINCT lower(regexp_extract(b, '^\p{Lu}\p{Ll}+')) AS w FROM (SELECT unnest(list_zip(t, t[2:])) AS z FROM (SELECT string_split(text, ' ') AS t FROM it)) x(z), LATERAL (SELECT z[1] AS a, z[2] AS b) WHERE regexp_matches(a, '[\p{Ll},]$') AND regexp_matches(b, '^\p{Lu}\p{Ll}+')),
 ii AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM it),
