@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,9 @@ def in_scopes(path: Column, root: str, scopes: list[str]) -> Column:
 def grep(texts: DataFrame, pattern: str, insensitive: bool = True, root: str = "", scopes: list[str] | None = None) -> DataFrame:
     """(rel_path, line_number, text): lines of `texts` (rel_path, text[, is_binary]) that match, trailing \\r removed.
 
-    A text is tested as a whole before it is split, so that texts without a match never explode. Binary and null texts are
-    skipped; a newline at the end makes no extra line.
+    A text is tested as a whole before it is split, so that texts without a match never explode (but for patterns that look
+    around or ask for the ends of a text, which mean another thing there). Binary and null texts are skipped; a newline at
+    the end makes no extra line.
     """
     java = line_filter(texts, pattern, insensitive)
     rows = texts.where(F.col("text").isNotNull())
@@ -43,6 +46,8 @@ def grep(texts: DataFrame, pattern: str, insensitive: bool = True, root: str = "
         rows = rows.where(~F.coalesce("is_binary", F.lit(False)))
     if scopes:
         rows = rows.where(in_scopes(F.col("rel_path"), root, scopes))
+    if not re.search(r"\\[AzZG]|\(\?<?[=!]", pattern):
+        rows = rows.where(F.col("text").rlike(f"(?md){java}"))
     body = F.regexp_replace("text", r"\n\z", "")
     lines = rows.select("rel_path", F.posexplode(F.split(body, "\n")).alias("i", "line")).where(F.col("line").rlike(java))
     return lines.select("rel_path", (F.col("i") + 1).alias("line_number"), F.regexp_replace("line", r"\r+\z", "").alias("text"))
@@ -60,10 +65,24 @@ def trigram_index(texts: DataFrame) -> DataFrame:
     return texts.where(F.col("text").isNotNull()).select("rel_path", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(low, i, F.lit(3))))).alias("gram"))
 
 
+def sealed_index(texts: DataFrame) -> DataFrame:
+    """(gram, rel_path, seal): trigram_index with a hash of the text that each row was made of, to be kept and refreshed.
+    Texts too short for a gram have one row with a null gram."""
+    seals = texts.where(F.col("text").isNotNull()).select("rel_path", F.xxhash64("text").alias("seal"))
+    return seals.join(trigram_index(texts), "rel_path", "left").select("gram", "rel_path", "seal")
+
+
+def refresh_index(index: DataFrame, texts: DataFrame) -> DataFrame:
+    """`index` (see sealed_index) as of `texts`: rows of texts that are gone or have changed are dropped, and only new and
+    changed texts are read into grams."""
+    now = texts.where(F.col("text").isNotNull()).select("rel_path", "text", F.xxhash64("text").alias("seal"))
+    kept = index.join(now.select("rel_path", "seal"), ["rel_path", "seal"], "left_semi")
+    changed = now.join(index.select("rel_path", "seal").distinct(), ["rel_path", "seal"], "left_anti")
+    return kept.select("gram", "rel_path", "seal").unionByName(sealed_index(changed))
+
+
 def grep_indexed(texts: DataFrame, index: DataFrame, literal: str, insensitive: bool = True) -> DataFrame:
     """grep for a literal with the index's candidates only; the same answer as without, since candidates are confirmed."""
-    import re
-
     low = literal.lower()
     grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
     rows = texts

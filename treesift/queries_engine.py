@@ -415,4 +415,7 @@ SELECT frn, CAST(least(n, 4294967295) AS BIGINT) AS clusters, n > 4294967295 AS
 SELECT path AS parsing_path, leaf AS item_name, regexp_extract(path, '(?s)^(.*)[\\/][^\\/]*\z', 1) AS folder_display, 1000000 - row_no AS rank, CASE WHEN is_dir THEN 16 ELSE 128 END AS attributes,
   CASE WHEN is_dir THEN 'Directory' ELSE regexp_extract(leaf, '(?s)(\.[^.]*)\z', 1) END AS item_type, CASE WHEN NOT is_dir THEN size_bytes END AS size FROM n""",
     "percent_decode": "SELECT DISTINCT hit_id, path FROM search_hit",
+    "highlight_spans": _VOL + r""", x AS (SELECT id, path, regexp_extract(path, '(?s)([^\\/]*)\z', 1) AS leaf FROM v WHERE NOT is_orphan AND contains(name_fold, 're') AND contains(name_fold, 'final')),
+y AS (SELECT id, CAST(len(regexp_extract_all(lower(leaf), '(?:re|final)+')) AS INTEGER) AS n, CAST(length(path) - length(leaf) + length(regexp_extract(lower(leaf), '(?s)^(.*?)(?:re|final)', 1)) AS INTEGER) AS first_start, length(regexp_extract(lower(leaf), '(?:re|final)+')) AS l FROM x)
+SELECT id, n, first_start, CAST(first_start + l AS INTEGER) AS first_end FROM y""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.highlight import query_spans
+from ..operators.content import line_filter
 
 
 def write_paths(hits: DataFrame, folder: str) -> None:
@@ -28,8 +29,12 @@ def listing(page: DataFrame, total: int, words: list[str] | None = None, mark: t
     return "\n".join(lines)
 
 
-def grouped_lines(hits: DataFrame) -> DataFrame:
-    """(rel_path, lines): matching lines of each text with their numbers right-aligned, ready to print."""
+def grouped_lines(hits: DataFrame, pattern: str | None = None, insensitive: bool = True, mark: tuple[str, str] = ("[", "]")) -> DataFrame:
+    """(rel_path, lines): matching lines of each text with their numbers right-aligned, ready to print; with the pattern, its
+    matches are marked."""
     width = F.length(F.max("line_number").cast("string"))
+    if pattern is not None:
+        java = line_filter(hits, pattern, insensitive)
+        hits = hits.withColumn("text", F.regexp_replace("text", java, f"{mark[0]}$0{mark[1]}"))
     rows = hits.groupBy("rel_path").agg(F.sort_array(F.collect_list(F.struct("line_number", "text"))).alias("m"), width.alias("w"))
     return rows.select("rel_path", F.transform("m", lambda x: F.concat(F.lpad(x["line_number"].cast("string"), F.col("w"), F.lit(" ")), F.lit(": "), x["text"])).alias("lines"))
