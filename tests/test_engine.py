@@ -1,10 +1,13 @@
 """Volumes, search, ranking, usage, views, content, journals and snapshots on small trees."""
 
+import bisect
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from treesift import runtime
 from treesift import schema as S
 from treesift.functions import fold, highlight
 from treesift.functions import text as X
@@ -350,3 +353,24 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path, rows, monkeypatch):
         assert rows(table.read()) == sorted(want.values())
     assert table.version == 7 and len(list((tmp_path / "state" / "table").glob("base-*"))) <= 2
     assert rows(streaming.StateTable(spark, table.folder).read()) == sorted(want.values())
+
+
+def test_a_followed_volume_leaves_no_folders_behind(spark):
+    m = MemoryVolume(spark, [(1, 10, 5, "dir", D)], [], [])
+    w = Watched.build(m)
+    counts = []
+    for n in range(4):
+        m.events = [*m.events, ev(n * 2 + 1, 20 + n, 10, 0x100, f"f{n}")]
+        assert w.sync() is None and w.volume.live.count() == n + 2
+        with runtime.scratch() as made:
+            pass
+        counts.append(len(os.listdir(runtime.shared_folder(spark).removeprefix("file:"))))
+        assert made == []
+    assert counts[-1] == counts[-2]
+
+
+def test_blocks_by_many_cuts(spark):
+    cuts = list(range(0, 10_230, 10))
+    got = spark.range(-5, 10_300, 7).select("id", runtime.block_of(F.col("id"), cuts).alias("b")).collect()
+    assert all(r["b"] == bisect.bisect_right(cuts, r["id"]) for r in got)
+    assert spark.sql("SELECT CAST(NULL AS long) AS id").select(runtime.block_of(F.col("id"), cuts).alias("b")).first()["b"] == 0

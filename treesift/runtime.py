@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 _FOLDERS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_WRITTEN: list[list[str]] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +54,22 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The folders that materialise writes inside, so that a loop can discard those it needs no more."""
+    made: list[str] = []
+    _WRITTEN.append(made)
+    try:
+        yield made
+    finally:
+        _WRITTEN.remove(made)
+
+
+def folder_of(df: DataFrame) -> str | None:
+    """The folder that `df` was written to, if materialise returned it."""
+    return getattr(df, "_treesift_folder", None)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage ends there, and a lost executor costs only a read.
 
@@ -58,8 +77,12 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    for made in _WRITTEN:
+        made.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._treesift_folder = path
+    return back
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -101,8 +124,13 @@ def equal_blocks(df: DataFrame, order: str, parts: int) -> list:
 
 
 def block_of(column: Column, cuts: list) -> Column:
-    """How many of `cuts` lie at or below the value, as int; nulls lie in block 0."""
-    if not cuts:
-        return F.lit(0)
-    below = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= column)
-    return F.coalesce(F.size(below), F.lit(0))
+    """How many of the sorted `cuts` lie at or below the value, as int; nulls lie in block 0. A tree of comparisons finds it
+    in as many steps as the number of cuts has digits in binary."""
+
+    def below(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(column >= F.lit(cuts[middle]), below(middle + 1, high)).otherwise(below(low, middle))
+
+    return below(0, len(cuts)) if cuts else F.lit(0)

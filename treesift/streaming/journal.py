@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import time
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,6 +114,19 @@ class Watched:
     cursor: int
     journal_id: int
     backlog: DataFrame | None = None
+    _made: list[str] = field(default_factory=list)
+
+    def _replace(self, make: Callable[[], Volume]) -> None:
+        """Put another volume in this one's place. What was written on the way to it is discarded; of the volumes made here
+        the last two stay, for those who still read the one before."""
+        spark = self.volume.entries.sparkSession
+        with runtime.scratch() as written:
+            self.volume = make()
+        kept = runtime.folder_of(self.volume.entries)
+        self._made += [kept] * (kept is not None)
+        for path in [p for p in written if p != kept] + self._made[:-2]:
+            runtime.discard(spark, path)
+        self._made = self._made[-2:]
 
     @classmethod
     def build(cls, source: VolumeSource) -> Watched:
@@ -143,22 +157,30 @@ class Watched:
         ahead = self.source.next_usn()
         if ahead > self.cursor:
             feed = self.source.journal(self.cursor).where(F.col("usn") < ahead)
-            self.volume = live.apply_events(self.volume, feed, self.source.root_frn)
+            self._replace(lambda: live.apply_events(self.volume, feed, self.source.root_frn))
             waiting = J.size_backlog(feed)
             if self.backlog is not None:
                 waiting = waiting.unionByName(self.backlog).groupBy("frn").agg(F.min("first_usn").alias("first_usn"))
-            self.backlog, self.cursor = runtime.materialise(waiting), ahead
+            self._wait(waiting)
+            self.cursor = ahead
         if self.backlog is not None and self.backlog.limit(1).count():
             turn = runtime.materialise(J.next_to_measure(self.backlog))
             measured = self.source.live_sizes().join(turn.select("frn"), "frn", "left_semi")
-            self.volume = live.record_measured(self.volume, measured, self.source.root_frn)
-            self.backlog = runtime.materialise(self.backlog.join(turn.select("frn"), "frn", "left_anti"))
+            self._replace(lambda: live.record_measured(self.volume, measured, self.source.root_frn))
+            self._wait(self.backlog.join(turn.select("frn"), "frn", "left_anti"))
+            runtime.discard(turn.sparkSession, runtime.folder_of(turn))
         return None
 
+    def _wait(self, rows: DataFrame) -> None:
+        old, self.backlog = self.backlog, runtime.materialise(rows)
+        if old is not None:
+            runtime.discard(rows.sparkSession, runtime.folder_of(old))
+
     def recover(self) -> None:
         """Build anew beside the old volume, then take its place."""
-        fresh = Watched.build(self.source)
-        self.volume, self.cursor, self.journal_id, self.backlog = fresh.volume, fresh.cursor, fresh.journal_id, None
+        cursor, journal_id = self.source.next_usn(), self.source.journal_id
+        self._replace(lambda: V.build_entries(self.source.records(), self.source.sizes(), self.source.drive, self.source.cluster_bytes, self.source.root_frn))
+        self.cursor, self.journal_id, self.backlog = cursor, journal_id, None
 
     def save(self, folder: str) -> None:
         snapshot.save(folder, self.volume, self.journal_id, self.cursor)
