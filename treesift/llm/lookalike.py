@@ -66,8 +66,8 @@ def lookalike_members(df: DataFrame, key: str, scope: str, text: str) -> DataFra
 
     A pass over hashes finds the (scope, skeleton) with more than one spelling, so that only fixed-width values of all
     rows are shuffled. Their rows are grouped in SQL under the accent-sensitive UNICODE collation, which holds canonically
-    equivalent spellings equal; the least spelling by code points (so an ASCII one before others) is the canonical member,
-    joined back to every row. Rows with a null scope, key or text are left out; repeated rows count once.
+    equivalent spellings equal, and, as it holds control characters for nothing, by the skeleton; the least spelling by code
+    points (so an ASCII one before others) is the canonical member, joined back to every row. Rows with a null scope, key or text are left out; repeated rows count once.
     """
     rows = df.where(F.col(key).isNotNull() & F.col(scope).isNotNull() & F.col(text).isNotNull()).select(F.col(scope).alias("scope"), F.col(key).alias("key"), F.col(text).alias("text"))
     rows = with_skeleton(rows, "text").withColumn("look", F.xxhash64("skeleton"))
@@ -75,8 +75,8 @@ def lookalike_members(df: DataFrame, key: str, scope: str, text: str) -> DataFra
     several = rows.groupBy("scope", "look").agg(F.min(spelt).alias("__a"), F.max(spelt).alias("__b")).where(F.col("__a") != F.col("__b")).select("scope", "look")
     members = runtime.materialise(rows.join(several, ["scope", "look"], "left_semi").drop("look").distinct())
     shown = F.collate("skeleton", "UNICODE")
-    best = members.groupBy("scope", shown.alias("shown")).agg(F.min("text").alias("canonical"))
-    joined = members.withColumn("shown", shown).join(best, ["scope", "shown"])
+    best = members.groupBy("scope", shown.alias("shown"), "skeleton").agg(F.min("text").alias("canonical"))
+    joined = members.withColumn("shown", shown).join(best, ["scope", "shown", "skeleton"])
     return joined.select("scope", "key", "text", "skeleton", "canonical")
 
 
