@@ -237,18 +237,19 @@ class LeakSearch:
         rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("id"), F.col(text).alias("text")).distinct()
         words = rows.select("id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
         names = item_names(items, text)
-        self.common = runtime.materialise(words.select("word").distinct().join(names, "word", "left_anti"))
+        self.common = words.select("word").distinct().join(names, "word", "left_anti")
         named = words.join(names, "word").groupBy("id", "text").agg(F.collect_list("word").alias("names"))
         rows = rows.join(named, ["id", "text"], "left").select("id", "text", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
         self.items = runtime.materialise(rows.mapInPandas(of_items, _ITEM_WINDOWS).distinct())
 
     def _doc_windows(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         """Windows of documents that have the template of an item's window, or all of them where there are too many of those."""
-        rows = self.items.select("k", "anchor", "offset", "len", "mask", "template").distinct()
-        wanted = None if rows.count() > self.most else rows.toPandas()
+        wanted: pd.DataFrame | None = self.items.select("k", "anchor", "offset", "len", "mask", "template").distinct().limit(self.most + 1).toPandas()
         masks: dict[int, list[int]] = {}
-        for r in self.items.select("len", "mask").distinct().collect():  # at most 2^len a length, far fewer in texts
-            masks.setdefault(r["len"], []).append(r["mask"])
+        if len(wanted) > self.most:
+            wanted = None
+            for r in self.items.select("len", "mask").distinct().collect():  # at most 2^len a length, far fewer in texts
+                masks.setdefault(r["len"], []).append(r["mask"])
         shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
         def all_windows(texts: _Texts) -> Iterator[pd.DataFrame]:
@@ -287,24 +288,28 @@ class LeakSearch:
         rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
         return rows.mapInPandas(of_docs, _DOC_WINDOWS).dropDuplicates(["doc_id", "len", "mask", "template", "filled"])
 
+    def _candidates(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+        """Windows of documents with the windows of items that have the same template; `same`: their slots are filled alike."""
+        mine = self.items.select("len", "mask", "template", F.col("filled").alias("item_filled"), F.col("slots").alias("item_slots"), F.col("id").alias("item_id"))
+        both = self._doc_windows(docs, doc_id, text).join(mine, ["len", "mask", "template"])
+        return both.withColumn("same", F.col("filled") == F.col("item_filled"))
+
     def passages(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         """(doc_id, item_id, verbatim, reparameterised): how many distinct passages of a document stand in an item word by
         word, and how many with other names, numbers or units; documents and items without either give no row."""
         key = ["doc_id", "len", "mask", "template", "filled"]
-        mine = self.items.select("len", "mask", "template", F.col("filled").alias("item_filled"), F.col("slots").alias("item_slots"), F.col("id").alias("item_id"))
-        both = runtime.materialise(self._doc_windows(docs, doc_id, text).join(mine, ["len", "mask", "template"]))
-        same = F.col("filled") == F.col("item_filled")
+        both = runtime.materialise(self._candidates(docs, doc_id, text))
         kinds = lambda c: F.size(F.array_distinct(c))
         pairs = kinds(F.arrays_zip("slots", "item_slots"))
-        other = both.where(~same & (pairs == kinds("slots")) & (pairs == kinds("item_slots")))
+        other = both.where(~F.col("same") & (pairs == kinds("slots")) & (pairs == kinds("item_slots")))
         names = other.select(*key, F.explode(F.expr("filter(slots, (w, i) -> (shiftright(mask, i) & 1) = 1)")).alias("word"))
         other = other.join(names.join(self.common, "word").select(*key).distinct(), key, "left_anti")
-        rows = both.where(same).select("doc_id", "item_id", F.lit(True).alias("same"), *key[1:]).unionByName(other.select("doc_id", "item_id", F.lit(False).alias("same"), *key[1:]))
-        return rows.distinct().groupBy("doc_id", "item_id").agg(F.count_if("same").alias("verbatim"), F.count_if(~F.col("same")).alias("reparameterised"))
+        rows = both.where("same").unionByName(other).select("doc_id", "item_id", "same", *key[1:]).distinct()
+        return rows.groupBy("doc_id", "item_id").agg(F.count_if("same").alias("verbatim"), F.count_if(~F.col("same")).alias("reparameterised"))
 
     def verbatim(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-        """(doc_id, item_id): documents with a passage of the item, word by word."""
-        return self.passages(docs, doc_id, text).where(F.col("verbatim") > 0).select("doc_id", "item_id")
+        """(doc_id, item_id): documents with a passage of the item, word by word; the verbatim part of passages."""
+        return self._candidates(docs, doc_id, text).where("same").select("doc_id", "item_id").distinct()
 
     def reparameterised(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         """(doc_id, item_id, n_windows): distinct passages of an item's template whose slots hold other words, consistently."""

@@ -173,7 +173,7 @@ def draw_mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None =
     packed = pack_tokens(counted, seed)
     tokens = {r["source"]: r["n"] for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # a row for each target
     quotas, aimed = source_quotas(wanted, tokens, total_tokens, block_tokens)
-    plan = runtime.materialise(plan_draw(spark, quotas, shard_blocks, seed))
+    plan = plan_draw(spark, quotas, shard_blocks, seed)
     offset = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("source").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     size = F.sum("n").over(W.partitionBy("shard"))
     # Rows of the plan move, slots don't: a row has about a shard's blocks at most.
