@@ -36,8 +36,8 @@ def in_scopes(path: Column, root: str, scopes: list[str]) -> Column:
 def grep(texts: DataFrame, pattern: str, insensitive: bool = True, root: str = "", scopes: list[str] | None = None) -> DataFrame:
     """(rel_path, line_number, text): lines of `texts` (rel_path, text[, is_binary]) that match, trailing \\r removed.
 
-    A text is tested as a whole before it is split, so that texts without a match never explode (but for patterns that look
-    around or ask for the ends of a text, which mean another thing there). Binary and null texts are skipped; a newline at
+    A text is tested as a whole before it is split, so that texts without a match never explode (but for patterns with
+    anchors, which mean another thing there). Binary and null texts are skipped; a newline at
     the end makes no extra line.
     """
     java = line_filter(texts, pattern, insensitive)
@@ -46,8 +46,8 @@ def grep(texts: DataFrame, pattern: str, insensitive: bool = True, root: str = "
         rows = rows.where(~F.coalesce("is_binary", F.lit(False)))
     if scopes:
         rows = rows.where(in_scopes(F.col("rel_path"), root, scopes))
-    if not re.search(r"\\[AzZG]|\(\?<?[=!]", pattern):
-        rows = rows.where(F.col("text").rlike(f"(?md){java}"))
+    if not re.search(r"[$^]|\\[AzZG]", pattern):
+        rows = rows.where(F.col("text").rlike(java))
     body = F.regexp_replace("text", r"\n\z", "")
     lines = rows.select("rel_path", F.posexplode(F.split(body, "\n")).alias("i", "line")).where(F.col("line").rlike(java))
     return lines.select("rel_path", (F.col("i") + 1).alias("line_number"), F.regexp_replace("line", r"\r+\z", "").alias("text"))
