@@ -207,6 +207,22 @@ def test_content(spark, rows):
     assert sinks.grouped_lines(content.grep(texts, "needle")).first()["lines"] == ["2: Needle one", "3: needle two"]
 
 
+def test_index_keeps_one_row_a_text_and_is_refreshed(spark, rows):
+    long = "".join(f"{i:x} " for i in range(20_000))
+    then = [("a", "the lock file"), ("b", "gone lock file"), ("c", "a key"), ("d", long), ("e", None), ("f", ""), ("g", "lo"), ("h", "\U0001f600 Lock File é\n目録の表 lock files")]
+    now = [("a", "no more of it"), ("c", "Lock\nFILE"), ("c", "LOCK FILE"), ("d", long + "lock file"), ("e", "lock file"), ("f", ""), ("g", "lo"), then[-1]]
+    before, after = (spark.createDataFrame(t, "rel_path string, text string") for t in (then, now))
+    kept = content.sealed_index(before)
+    assert sorted(r["rel_path"] for r in kept.collect()) == ["a", "b", "c", "d", "f", "g", "h"]
+    assert kept.agg(F.sum(F.size("grams") * 8)).first()[0] < sum(len(t or "") for _, t in then)
+    index = content.refresh_index(kept, after)
+    assert index.count() == 8 and rows(content.refresh_index(index, after)) == rows(content.sealed_index(after))
+    for word in ("Lock File", "lo", "目録の", "\U0001f600 l", "1f 20", "4e1f lock", "absent", "É"):
+        assert rows(content.grep_indexed(after, index, word)) == rows(content.grep(after, word)), word
+    assert rows(content.grep_indexed(after, index, "lock file").select("rel_path")) == [("c",), ("d",), ("e",), ("h",), ("h",)]
+    assert rows(index.where(content.may_hold(F.col("grams"), "absent words")).select("rel_path")) == []
+
+
 def test_regex_dialect():
     assert conditions.java_pattern("a$", True) == r"(?iuUd)a\z" and conditions.java_pattern("[$]", False) == "(?Ud)[$]"
     assert conditions.java_pattern(r"(?P<n>a)\$", False) == r"(?Ud)(?<n>a)\$" and conditions.java_pattern(r"(a)\1", True) is None and conditions.java_pattern("(?m)a$", True).endswith("a$")

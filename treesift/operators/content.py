@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import runtime
 from ..plans.conditions import java_pattern, java_valid
 
 BLOCK = 1 << 16
+#: Bits that an index has for each distinct gram of a text: one in five or so is set.
+GRAM_BITS = 4
+#: Characters that are read into grams at a time (about 100 bytes each).
+GRAM_CHARS = 1 << 18
 
 
 def line_filter(df: DataFrame, pattern: str, insensitive: bool) -> str:
@@ -58,18 +65,64 @@ def file_counts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("rel_path").agg(F.count(F.lit(1)).alias("lines"))
 
 
+def _gram_hashes(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """31 bits for every three code points (uint64)."""
+    key = a | b << np.uint64(21) | c << np.uint64(42)
+    key = (key ^ key >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((key ^ key >> np.uint64(32)) & np.uint64(0x7FFFFFFF)).astype(np.int64)
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _gram_sets(texts: list[str]) -> list[np.ndarray]:
+    """Per text the words of its bits: one bit is set for each gram, GRAM_BITS bits are there for each distinct gram."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    chars = _code_points("".join(texts))
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    inside = owner[:-2] == owner[2:]
+    grams, owner = _gram_hashes(chars[:-2], chars[1:-1], chars[2:])[inside], owner[:-2][inside]
+    room = 8 * sizes + 1  # so roomy that few grams meet: how many are distinct
+    start = np.cumsum(room) - room
+    seen = np.zeros(room.sum(), bool)
+    seen[start[owner] + grams % room[owner]] = True
+    words = np.add.reduceat(seen, start, dtype=np.int64) * GRAM_BITS // 64 + 1
+    first = np.cumsum(words) - words
+    bits = np.zeros(64 * words.sum(), bool)
+    bits[64 * first[owner] + grams % (64 * words[owner])] = True
+    return np.split(np.packbits(bits, bitorder="little").view("<i8"), first[1:])
+
+
+def _gram_series(texts: pd.Series) -> pd.Series:
+    out: list[np.ndarray] = []
+    part: list[str] = []
+    held = 0
+    for t in texts:
+        part.append(t)
+        held += len(t)
+        if held >= GRAM_CHARS:
+            out += _gram_sets(part)
+            part, held = [], 0
+    return pd.Series(out + _gram_sets(part) if part else out, dtype=object)
+
+
+def _grams(texts: DataFrame) -> Column:
+    runtime.ship_package(texts.sparkSession)
+    made = F.pandas_udf(_gram_series, "array<long>").asNondeterministic()  # else a search's filter has it run before a refresh's join
+    return made(F.lower("text")).alias("grams")
+
+
 def trigram_index(texts: DataFrame) -> DataFrame:
-    """(gram, rel_path): every three characters, lower case, that a text holds: an index for searches of literals."""
-    low = F.lower("text")
-    at = F.when(F.length(low) >= 3, F.sequence(F.lit(1), F.length(low) - 2)).otherwise(F.array().cast("array<int>"))
-    return texts.where(F.col("text").isNotNull()).select("rel_path", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(low, i, F.lit(3))))).alias("gram"))
+    """(rel_path, grams array<long>): an index for searches of literals, one row a text. `grams` is a set of bits that has one
+    for every three characters, lower case, that the text holds (see _gram_sets); several may share a bit, so a
+    search confirms what it finds. It is about as large as the compressed text, and making it shuffles nothing."""
+    return texts.where(F.col("text").isNotNull()).select("rel_path", _grams(texts))
 
 
 def sealed_index(texts: DataFrame) -> DataFrame:
-    """(gram, rel_path, seal): trigram_index with a hash of the text that each row was made of, to be kept and refreshed.
-    Texts too short for a gram have one row with a null gram."""
-    seals = texts.where(F.col("text").isNotNull()).select("rel_path", F.xxhash64("text").alias("seal"))
-    return seals.join(trigram_index(texts), "rel_path", "left").select("gram", "rel_path", "seal")
+    """(rel_path, seal, grams): trigram_index with a hash of the text that each row was made of, to be kept and refreshed."""
+    return texts.where(F.col("text").isNotNull()).select("rel_path", F.xxhash64("text").alias("seal"), _grams(texts))
 
 
 def refresh_index(index: DataFrame, texts: DataFrame) -> DataFrame:
@@ -77,16 +130,27 @@ def refresh_index(index: DataFrame, texts: DataFrame) -> DataFrame:
     changed texts are read into grams."""
     now = texts.where(F.col("text").isNotNull()).select("rel_path", "text", F.xxhash64("text").alias("seal"))
     kept = index.join(now.select("rel_path", "seal"), ["rel_path", "seal"], "left_semi")
-    changed = now.join(index.select("rel_path", "seal").distinct(), ["rel_path", "seal"], "left_anti")
-    return kept.select("gram", "rel_path", "seal").unionByName(sealed_index(changed))
+    changed = now.join(index.select("rel_path", "seal"), ["rel_path", "seal"], "left_anti")
+    return kept.select("rel_path", "seal", "grams").unionByName(sealed_index(changed))
+
+
+def may_hold(grams: Column, literal: str) -> Column:
+    """Whether a set of grams (see trigram_index) has all of those of `literal`, which is in lower case."""
+    chars = _code_points(literal)
+    wanted = sorted({int(g) for g in _gram_hashes(chars[:-2], chars[1:-1], chars[2:])})
+    bits = F.size(grams) * 64
+
+    def there(gram: Column) -> Column:
+        at = (gram % bits).cast("int")
+        return F.getbit(F.get(grams, F.shiftright(at, 6)), at.bitwiseAND(63)) == 1
+
+    return F.forall(F.lit(wanted), there) if wanted else F.lit(True)
 
 
 def grep_indexed(texts: DataFrame, index: DataFrame, literal: str, insensitive: bool = True) -> DataFrame:
     """grep for a literal with the index's candidates only; the same answer as without, since candidates are confirmed."""
     low = literal.lower()
-    grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
     rows = texts
-    if grams:
-        has = index.where(F.col("gram").isin(grams)).groupBy("rel_path").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams)).select("rel_path")
-        rows = texts.join(has, "rel_path", "left_semi")
+    if len(low) >= 3:
+        rows = texts.join(index.where(may_hold(F.col("grams"), low)).select("rel_path"), "rel_path", "left_semi")
     return grep(rows, re.escape(literal), insensitive)
