@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from treesift import runtime
+from treesift import queries_data, runtime
 from treesift.operators import changes, hierarchy, references
 
 EV = "usn long, frn long, parent_frn long, reason long, note string"
@@ -193,6 +193,28 @@ def test_trees_below_cycles_have_descendants(spark, rows, monkeypatch, seed, byt
     assert rows(hierarchy.subtree_totals(links, forest, root, {"n": F.count(F.lit(1))})) == sorted(counts.items())
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_counts_of_descendants_with_cycles(spark, rows, tmp_path, seed):
+    """p6_descendants leaves out what is on or below a cycle, as its SQL does; p6_descendants_marked tells it apart."""
+    duckdb = pytest.importorskip("duckdb")
+    parent = {k: v for k, v in random_links(60, seed).items() if v is not None} | {5: 5, 1: 2, 2: 3, 3: 1, 10: 2, 11: 10, 20: 20, 21: 20, 301: 5, 302: 301, 303: 302, 304: 999, 305: 304}
+    some = [(o, n, p, f"n{n}") for o, (n, p) in enumerate(parent.items())] + [(900, 302, 301, "n302"), (901, 310, None, "top"), (902, 311, 310, None), (903, None, 5, "lost")]
+    tables = {
+        "volume_info": spark.createDataFrame([(5, 5)], "root_frn long, root_id long"),
+        "raw_record": spark.createDataFrame(some, "ord long, frn long, parent_frn long, name_utf16 string"),
+        "entry": spark.createDataFrame([(n, 4294967294 if p is None else p, name) for _, n, p, name in some], "id long, parent long, name string").where("id IS NOT NULL"),
+    }
+    db = duckdb.connect()
+    for name, table in tables.items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = {name: rows(queries_data.QUERIES[name](spark, str(tmp_path))) for name in ("p6_descendants", "p6_descendants_marked")}
+    for name in got:
+        assert got[name] == sorted(db.execute(queries_data.ORACLE[name]).fetchall())
+    assert ("entry", 301, 2) in got["p6_descendants"] and ("entry", 2, 2, True) in got["p6_descendants_marked"]
+    assert got["p6_descendants"] == [r[:3] for r in got["p6_descendants_marked"] if not r[3]]
+
+
 def ends_by_hand(parent, root):
     """{node: (top, depth)} by walks that stop at nodes known already."""
     out = {}

@@ -268,14 +268,29 @@ def marked_descendants(links: DataFrame, forest: DataFrame, root: Column) -> Dat
 
 def subtree_totals(links: DataFrame, forest: DataFrame, root: Column, measures: dict[str, Column]) -> DataFrame:
     """(node, measures...) for every node with children: each measure (a sum over child rows) over the whole subtree. For
-    nodes of a cycle, that is what hangs below them; children along the cycle don't count.
+    nodes of a cycle, that is what hangs below them; children along the cycle don't count."""
+    return _totals(*open_rings(links, forest, root), root, measures)
+
+
+def sound_totals(links: DataFrame, forest: DataFrame, root: Column, measures: dict[str, Column]) -> DataFrame:
+    """subtree_totals of the nodes that are neither on nor below a cycle, alone."""
+    return _totals(links, forest, root, measures)
+
+
+def marked_totals(links: DataFrame, forest: DataFrame, root: Column, measures: dict[str, Column]) -> DataFrame:
+    """(node, measures..., circular): subtree_totals, the nodes on or below a cycle told apart."""
+    opened, depths = open_rings(links, forest, root)
+    return _totals(opened, depths, root, measures).join(depths.select("node", "circular"), "node")
+
+
+def _totals(links: DataFrame, depths: DataFrame, root: Column, measures: dict[str, Column]) -> DataFrame:
+    """The measures over the subtrees of the nodes that have a depth of 0 or more in `depths`.
 
     Children are first summed under their parent, combined before the shuffle, so leaves never meet the list of their
     ancestors: only one row per parent is spread over its ancestors.
     """
-    opened, depths = open_rings(links, forest, root)
-    direct = opened.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(*[m.alias(k) for k, m in measures.items()])
-    spread = ancestor_arrays(opened, depths, root).join(direct, "node").select(F.explode("chain").alias("node"), *measures)
+    direct = links.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(*[m.alias(k) for k, m in measures.items()])
+    spread = ancestor_arrays(links, depths, root).join(direct, "node").select(F.explode("chain").alias("node"), *measures)
     return spread.groupBy("node").agg(*[F.sum(k).alias(k) for k in measures])
 
 

@@ -66,16 +66,27 @@ def p6_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """How many descendants every node with children has, those on or below a cycle included (see p6_descendant_pairs)."""
+    """How many descendants every node with children has, but for those on or below a cycle (see p6_descendants_marked)."""
     parts = []
     for tab, rows, make, root in _forests(spark, d):
         links = runtime.materialise(make(rows).select("node", "parent"))
         forest = runtime.materialise(hierarchy.resolve_forest(links, root))
-        totals = hierarchy.subtree_totals(links, forest, root, {"n_below": F.count(F.lit(1))})
+        totals = hierarchy.sound_totals(links, forest, root, {"n_below": F.count(F.lit(1))})
         parts.append(totals.select(F.lit(tab).alias("tab"), "node", "n_below"))
     return parts[0].unionByName(parts[1])
 
 
+def p6_descendants_marked(spark: SparkSession, d: str) -> DataFrame:
+    """The same for all nodes with children, those on or below a cycle told apart; a node of a cycle counts what hangs below it."""
+    parts = []
+    for tab, rows, make, root in _forests(spark, d):
+        links = runtime.materialise(make(rows).select("node", "parent"))
+        forest = runtime.materialise(hierarchy.resolve_forest(links, root))
+        totals = hierarchy.marked_totals(links, forest, root, {"n_below": F.count(F.lit(1))})
+        parts.append(totals.select(F.lit(tab).alias("tab"), "node", "n_below", "circular"))
+    return parts[0].unionByName(parts[1])
+
+
 def p6_descendant_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every node with each of its ancestors and the distance; nodes on a cycle are tops of what hangs below them."""
     parts = []
@@ -87,7 +98,7 @@ def p6_descendant_pairs(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_with_base, p4_found, p4_by_period, p6_found, p6_paths, p6_descendants, p6_descendant_pairs)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_with_base, p4_found, p4_by_period, p6_found, p6_paths, p6_descendants, p6_descendants_marked, p6_descendant_pairs)}
 
 _STATE = """
 ev AS (SELECT *, (reason & 512) <> 0 AS del FROM usn_event WHERE usn IS NOT NULL AND frn IS NOT NULL
@@ -140,3 +151,4 @@ up AS (SELECT tab, parent AS above, node, 1 AS distance FROM o WHERE parent IS N
   UNION ALL SELECT up.tab, o.parent, up.node, up.distance + 1 FROM up JOIN o ON o.tab = up.tab AND o.node = up.above WHERE o.parent IS NOT NULL)
 SELECT up.tab, above AS ancestor, up.node, CAST(distance AS INTEGER) AS distance, low.node IS NOT NULL AS circular FROM up JOIN n k ON k.tab = up.tab AND k.node = up.above LEFT JOIN low ON low.tab = up.tab AND low.node = up.node""",
 }
+ORACLE["p6_descendants_marked"] = f"SELECT tab, ancestor AS node, count(*) AS n_below, circular FROM ({ORACLE['p6_descendant_pairs']}) GROUP BY ALL"
